@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm.common import scan
+from tideline.llm import mixing
+from tideline.llm.simhash_dedup import near_duplicates
 from tideline.llm.substring_dedup import remove_repeats
 
 
@@ -15,8 +18,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.plan(scan(spark, sf_dir, "documents"))
+    taken = F.col("passes") * F.col("size") + F.col("extra")
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates(scan(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_simhash_dedup": op5_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {}
