@@ -8,11 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import scan
-from tideline.llm import mixing
+from tideline.llm import embedding_dedup, mixing, packing
 from tideline.llm.simhash_dedup import near_duplicates
 from tideline.llm.substring_dedup import remove_repeats
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file on this machine; executors have the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -29,10 +36,21 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack_documents(scan(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(scan(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op7_packing": op7_packing,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}
