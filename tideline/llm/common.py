@@ -34,6 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written tables: the one the cluster names, else that of local tests."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        cut(spark.range(0))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+
+
 def deflate(data: bytes, level: int = 3) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 

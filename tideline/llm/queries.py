@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import scan
-from tideline.llm import embedding_dedup, mixing, packing
+from tideline.llm import embedding_dedup, mixing, ordinal, packing
 from tideline.llm.simhash_dedup import near_duplicates
 from tideline.llm.substring_dedup import remove_repeats
 
@@ -20,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ordinal.quality(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
+    return rows.select("doc_id", F.col("expected").alias("expected_grade"), F.col("tail").alias("p_good"), F.col("decided").alias("kept"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -41,15 +46,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ordinal.toxicity(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
+    return rows.select("doc_id", F.col("expected").alias("expected_severity"), F.col("tail").alias("p_toxic"), F.col("decided").alias("toxic"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(scan(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op7_packing": op7_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 

@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import components, cut
@@ -179,3 +179,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     """(doc_id, fp, component_id) for every row of docs."""
     prints = cut(fingerprints(docs, words, id_col, text_col))
     return prints.join(link(prints, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group: that of the smallest id, and of rows with that id the one whose text's hash is
+    least. Rows with a null id name no group and stay."""
+    kept = near_duplicates(docs, words, radius, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, F.col(id_col) == F.col("_kept"), "left").where(F.col("_kept").isNotNull() | F.col(id_col).isNull())
+    place = F.when(F.col(id_col).isNotNull(), F.row_number().over(Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(F.xxhash64(text_col))))
+    return rows.withColumn("_place", place).where("_place IS NULL OR _place = 1").select(*docs.columns)
