@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import scan
-from tideline.llm import embedding_dedup, mixing, ordinal, packing
+from tideline.llm import embedding_dedup, mixing, ordinal, packing, permutation_index
 from tideline.llm.simhash_dedup import near_duplicates
 from tideline.llm.substring_dedup import remove_repeats
 
@@ -30,6 +30,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(scan(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(scan(spark, sf_dir, "documents"))
     taken = F.col("passes") * F.col("size") + F.col("extra")
@@ -58,6 +62,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_permutation_index": op3_permutation_index,
     "op4_mixing": op4_mixing,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op7_packing": op7_packing,
