@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import scan
-from tideline.llm import embedding_dedup, mixing, ordinal, packing, permutation_index
+from tideline.llm import embedding_dedup, html_extraction, mixing, ordinal, packing, permutation_index
 from tideline.llm.simhash_dedup import near_duplicates
 from tideline.llm.substring_dedup import remove_repeats
 
@@ -45,6 +45,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(scan(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack_documents(scan(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_permutation_index": op3_permutation_index,
     "op4_mixing": op4_mixing,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
     "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
