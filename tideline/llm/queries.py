@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import scan
-from tideline.llm import embedding_dedup, html_extraction, mixing, ordinal, packing, permutation_index
+from tideline.llm import embedding_dedup, html_extraction, licenses, mixing, ordinal, packing, permutation_index
 from tideline.llm.simhash_dedup import near_duplicates
 from tideline.llm.substring_dedup import remove_repeats
 
@@ -54,6 +54,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(scan(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ordinal.toxicity(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
     return rows.select("doc_id", F.col("expected").alias("expected_severity"), F.col("tail").alias("p_toxic"), F.col("decided").alias("toxic"))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
+    "op8_licenses": op8_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
