@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,11 +33,51 @@ from tideline.llm.common import cut
 
 CAPACITY = 4096
 END_ID = 1
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict[str, "_Words"] = {}
 
 
+class _Numbers(dict):
+    """Numbers words as they come; fresh holds those that have no ids yet."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
+class _Lists:
+    """Lists of ids, numbered as they are added."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.ids, self.starts, self.sizes = (np.empty(0, t) for t in (np.uint32, np.int64, np.int64))
+        self.more: list[np.ndarray] = []
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.parts.append(ids)
+        self.more.append(sizes)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists numbered ``at``, one after the other, and the lists' sizes."""
+        if self.parts:
+            self.ids = np.concatenate((self.ids, *self.parts))
+            self.sizes = np.concatenate((self.sizes, *self.more))
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            self.parts, self.more = [], []
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
+#: A word that ends in marks, none of them an apostrophe, after a letter or digit: the tokenizer parts the two there.
+_MARKED = re.compile(rb"(.*[a-zA-Z0-9\x80-\xff])([!-&(-/:-@\[-`{-~]+)", re.S)
+
+
 class _Words:
     """The ids of words by a tokenizer of the tokenizers library, from a table that is emptied when full."""
 
@@ -51,51 +93,67 @@ class _Words:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids, self.starts, self.sizes = (np.empty(0, t) for t in (np.uint32, np.int64, np.int64))
-
-    def add(self, words: list[bytes]) -> None:
-        """Encodes words many at a time, a digit that always is one id of its own between any two."""
-        plain = [w for w in words if b"0" not in w] if len(self.mark) == 1 else []
-        odd = [w for w in words if b"0" in w] if len(self.mark) == 1 else words
-        found: list[np.ndarray] = []
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        order: list[bytes] = []
-        for group, ids in zip(groups, self._encode([b" 0 ".join(g).decode("utf-8", "replace") for g in groups]), strict=True):
+        self.numbers, self.atoms = _Numbers(), _Numbers()
+        self.words, self.coded = _Lists(), _Lists()
+        self.atoms[b""]
+        self.atoms.fresh.clear()
+        self.coded.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
+
+    def _code(self) -> None:
+        """Encodes the fresh atoms, many at a time: a digit that always is one id of its own stands between any two."""
+        fresh, self.atoms.fresh = self.atoms.fresh, []
+        alone = len(self.mark) != 1
+        groups = [fresh[i : i + 256] for i in range(0, len(fresh), 256)]
+        together = self._encode(["" if alone else b" 0 ".join(g).decode("utf-8", "replace") for g in groups])
+        for group, ids in zip(groups, together, strict=True):
             a = np.array(ids, np.uint32)
             at = np.flatnonzero(a == self.mark[0])
-            if len(at) != len(group) - 1:
-                odd += group
-                continue
-            edges = np.concatenate(([-1], at, [len(a)]))
-            found += [a[x + 1 : y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
-            order += group
-        found += [np.array(ids, np.uint32) for ids in self._encode([w.decode("utf-8", "replace") for w in odd])]
-        order += odd
-        base = len(self.sizes)
-        sizes = np.array([len(f) for f in found], np.int64)
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.ids = np.concatenate((self.ids, *found)) if found else self.ids
-        self.index.update((w, base + i) for i, w in enumerate(order))
+            if alone or len(at) != len(group) - 1:  # some atom holds that digit
+                each = self._encode([w.decode("utf-8", "replace") for w in group])
+                self.coded.add(np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64))
+            else:
+                self.coded.add(np.delete(a, at), np.diff(np.concatenate(([-1], at, [len(a)]))) - 1)
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        m = _MARKED.fullmatch(word)
+        if not m or b"<|" in word:
+            return word, b""
+        stem = m[1]
+        if stem[-1] >= 128:
+            last = stem.decode("utf-8", "replace")[-1]
+            if not last.isalpha() or len(last.lower()) > 1:  # a letter that lower case spells with a mark
+                return word, b""
+        return stem, m[2]
+
+    def _learn(self) -> None:
+        """Gives ids to the fresh words: those of a stem and of the marks that follow it."""
+        if not self.numbers.fresh:
+            return
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        # atoms with a zero would spoil the groups of others, so they come last
+        parts = [self._parts(w) for w in fresh]
+        for p in parts:
+            if b"0" not in p[0]:
+                self.atoms[p[0]], self.atoms[p[1]]
+        at = np.fromiter(map(self.atoms.__getitem__, chain.from_iterable(parts)), np.int64, 2 * len(parts))
+        self._code()
+        ids, sizes = self.coded.gather(at)
+        self.words.add(ids, sizes.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end_id, and the edges between texts."""
-        words = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        if len(self.index) > MOST_WORDS:
+        if len(self.numbers) > MOST_WORDS:
             self.clear()
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.index))
-        if new:
-            self.add(new)
-        get = self.index.__getitem__
+        words = []
+        for t in texts:
+            raw = t.encode("utf-8", "replace") if t else b""
+            words.append((raw if b"<|" in raw else raw.lower()).split())  # the tokenizer lowers letters, but not its marks
         n = np.array([len(w) for w in words], np.int64)
-        at = np.fromiter((get(w) for ws in words for w in ws), np.int64, int(n.sum()))
-        sizes = self.sizes[at]
-        sums = np.concatenate(([0], np.cumsum(sizes)))
-        edges = sums[np.concatenate(([0], np.cumsum(n)))]
-        ids = self.ids[np.repeat(self.starts[at] - sums[:-1], sizes) + np.arange(sums[-1])]
-        out = np.insert(ids, edges[1:], np.uint32(end_id))
-        return out, edges + np.arange(len(edges))
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+        self._learn()
+        ids, sizes = self.words.gather(at)
+        edges = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(n)))]
+        return np.insert(ids, edges[1:], np.uint32(end_id)), edges + np.arange(len(edges))
 
 
 def tokens(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
