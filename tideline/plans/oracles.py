@@ -101,7 +101,7 @@ def _check_gold(rows: str, prior: int | None) -> str:
 
 _CANDLE = "product_id, interval_start, interval_end, open, high, low, close, volume, vwap, trade_count"
 _SILVER_COLUMNS = "product_id, trade_id, side, price, size, sequence, maker_order_id, taker_order_id, event_time"
-_BULK = f"""bulk AS (SELECT l_returnflag || l_linestatus AS product_id, l_orderkey * 10 + l_linenumber AS trade_id, CAST(CAST(round(l_extendedprice / l_quantity, 4) AS VARCHAR) AS {_D}) AS price,
+_BULK = f"""bulk AS (SELECT l_returnflag || l_linestatus AS product_id, l_orderkey * 10 + l_linenumber AS trade_id, CAST(CAST(l_extendedprice AS VARCHAR) AS {_D}) AS price,
     CAST(CAST(l_quantity AS VARCHAR) AS {_D}) AS size, l_partkey AS sequence, CAST(l_shipdate AS TIMESTAMP) AS event_time FROM lineitem)"""
 _VERSIONED = f"WITH {_TRADES} SELECT trade_id, product_id, price FROM trades WHERE trade_id % 3"
 _DOUBLED = "CASE WHEN trade_id % 2 = 0 OR trade_id % 5 = 0 THEN CAST(price * 2 AS DECIMAL(38,18)) ELSE price END"
