@@ -75,8 +75,8 @@ def cached_powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(10, (n - 1).bit_length())
     key = (int(base), size)
     if key not in _tables:
-        if size > 1 << 22:
-            return powers(base, size)
+        if size > 1 << 18:  # workers live long and shouldn't hold much
+            return powers(base, n)
         _tables[key] = powers(base, size)
     return _tables[key]
 

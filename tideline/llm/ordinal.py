@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str, features: Features
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), F.col("_id") == F.col("id")).select("id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             row, index, value = features(batch.column(2).to_pylist(), None)
             edges = np.searchsorted(row, np.arange(len(batch) + 1))
             out = [batch.column(0).cast(pa.int64()), batch.column(1), pa.array([index[a:b].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()), pa.array([value[a:b].astype("<f4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())]
@@ -139,13 +139,20 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str, features: Features
     return model
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows: the features of a batch of the session's size would take much memory."""
+    for batch in batches:
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)
+
+
 def score(docs: DataFrame, model: Model, features: Features, dims: int, id_col: str = "doc_id", text_col: str = "text", above: bool = True) -> DataFrame:
     """(id_col, expected, tail, decided): decided tells whether the tail probability reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(max(dims, 1), bool)
         wanted[model.at] = True
-        for batch in batches:
+        for batch in _small(batches):
             row, index, value = features(batch.column(1).to_pylist(), wanted)
             expected, tail = model.grade(model.score(row, index, value, len(batch)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= model.decide if len(model.grades) > 1 else np.full(len(batch), above))], [id_col, "expected", "tail", "decided"])
@@ -160,7 +167,7 @@ def select(docs: DataFrame, model: Model, features: Features, dims: int, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(max(dims, 1), bool)
         wanted[model.at] = True
-        for batch in batches:
+        for batch in _small(batches):
             row, index, value = features(batch.column(text_col).to_pylist(), wanted)
             yield batch.filter(pa.array(model.grade(model.score(row, index, value, len(batch)))[1] >= model.decide))
 
