@@ -77,6 +77,7 @@ OTHERS: dict[str, tuple[str, ...]] = {
     "unknown": (
         "Licensed under the terms of the customer agreement.", "This software is licensed under a commercial license.", "See the license for details.", "Distributed under its own license, version 7.",
         "Use is subject to license terms.", "This material may be used under the community license of its owner.", "Released under an internal license.", "This work is licensed for personal use only.",
+        "Licensed under the house terms.", "Licensed under the owner license.", "Released under the member license.", "This work is licensed under the letter agreement.", "Licensed under terms of its own.",
     ),
     "none": (
         "The software was released in the spring and the source was public.", "A driver must carry a license at all times.", "The public library is free for all.", "You should have received a copy of the letter.",
