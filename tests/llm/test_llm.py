@@ -398,3 +398,18 @@ def test_pipeline(spark):
 
 def test_every_operator_is_registered():
     assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 11)] == [1] * 10
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    con.execute(queries.ORACLES[name])
+    names = [c[0] for c in con.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(str(tuple(r[c] for c in names)) for r in df.collect()) == sorted(map(str, con.fetchall()))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import scan
-from tideline.llm import embedding_dedup, html_extraction, licenses, mixing, ordinal, packing, permutation_index
+from tideline.llm import embedding_dedup, html_extraction, licenses, mixing, oracles, ordinal, packing, permutation_index
 from tideline.llm.simhash_dedup import near_duplicates
 from tideline.llm.substring_dedup import remove_repeats
 
@@ -80,4 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op4_mixing": oracles.MIXING,
+    "op10_embedding_dedup": oracles.EMBEDDING_DEDUP,
+}
