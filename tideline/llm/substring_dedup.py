@@ -35,7 +35,7 @@ NO_ID = (1 << 63) - 1
 
 def _pack(**arrays: np.ndarray) -> bytes:
     head = ";".join(f"{k},{v.dtype.str},{len(v)}" for k, v in arrays.items()).encode()
-    return deflate(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(v).tobytes() for v in arrays.values()))
+    return deflate(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(v).tobytes() for v in arrays.values()), 5)
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
@@ -95,7 +95,7 @@ def _table_bytes(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return deflate(sink.getvalue().to_pybytes())
+    return deflate(sink.getvalue().to_pybytes(), 7)
 
 
 def _table(data: bytes) -> pa.Table:
