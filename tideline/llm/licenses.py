@@ -119,26 +119,38 @@ def train(seed: int = 5, variants: int = 24) -> tuple[dict[str, list[float]], li
     single = {g for g in names if " " not in g}
     names = [g for g in names if " " not in g or not single.isdisjoint(g.split())]
     number = {g: i for i, g in enumerate(names)}
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for i, (r, _) in enumerate(rows):
-        x[i, [number[g] for g in r if g in number]] = 1
+    # every row also holds a last feature whose weights stay zero, so that none is empty
+    lists = [[*(number[g] for g in r if g in number), len(names)] for r, _ in rows]
     y = np.array([k for _, k in rows])
     fold = np.arange(len(rows)) % 5 == 0
-    w, b = np.zeros((len(names), len(CLASSES))), np.zeros(len(CLASSES))
-    one = np.eye(len(CLASSES))[y]
-    xt, yt = x[~fold], one[~fold]
+    w, b = np.zeros((len(names) + 1, len(CLASSES))), np.zeros(len(CLASSES))
+
+    def flat(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chosen = [lists[i] for i in np.flatnonzero(own)]
+        return np.concatenate([np.array(c) for c in chosen]), np.cumsum([0] + [len(c) for c in chosen[:-1]])
+
+    at, starts = flat(~fold)
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(at))))
+    order = np.argsort(at, kind="stable")
+    used, firsts = np.unique(at[order], return_index=True)
+    one = np.eye(len(CLASSES))[y[~fold]]
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     for step in range(1, 121):
-        p = _softmax(xt @ w + b)
-        for value, grad, mm, vv in ((w, xt.T @ (p - yt) / len(xt), m, v), (b, (p - yt).mean(axis=0), mb, vb)):
+        off = _softmax(np.add.reduceat(w[at], starts) + b) - one
+        slope = np.zeros_like(w)
+        slope[used] = np.add.reduceat(off[of[order]], firsts) / len(one)
+        slope[-1] = 0
+        for value, grad, mm, vv in ((w, slope, m, v), (b, off.mean(axis=0), mb, vb)):
             mm += 0.1 * (grad - mm)
             vv += 0.01 * (grad * grad - vv)
             move = 0.1 / (np.sqrt(vv / (1 - 0.99**step)) + 1e-8)
             value -= move * mm / (1 - 0.9**step)
             if value is w:
                 w[:] = np.sign(w) * np.maximum(np.abs(w) - np.minimum(move * 1e-5, 0.1), 0)
-    z, held = x[fold] @ w + b, y[fold]
+    at, starts = flat(fold)
+    z, held = np.add.reduceat(w[at], starts) + b, y[fold]
     heat = min((0.5 + 0.1 * i for i in range(40)), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(held)), held] + 1e-12).mean())
+    w = w[:-1]
     keep = np.abs(w).max(axis=1) > 1e-3
     table = {g: [round(float(c), 6) for c in w[i] / heat] for i, g in enumerate(names) if keep[i] or " " not in g and g not in STOP and keep[[j for j, n in enumerate(names) if " " in n and g in n.split()]].any()}
     return table, [round(float(c), 6) for c in b / heat]
