@@ -298,6 +298,19 @@ def test_permutation_index_recall(spark):
     assert np.mean([len(got[q] & w) / 20 for q, w in want.items()]) >= 0.9
 
 
+def test_permutation_index_finds_all_on_clustered_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.repeat(rng.normal(size=(14, 32)), 200, axis=0) + rng.normal(size=(2800, 32)) * 0.05, rng.normal(size=(200, 32))])
+    x = x[rng.permutation(3000)].astype(np.float32)
+    got = {}
+    for r in permutation_index.search(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS), F.col("vec_id") % 10 == 0, sample_rows=500, chunk_rows=256, query_rows=64).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(s, -np.inf)
+    assert got.keys() == set(range(0, 3000, 10)) and all(len(set(v)) == len(v) == 20 for v in got.values())
+    assert min(len(set(v) & set(np.argsort(-s[q])[:20].tolist())) for q, v in got.items()) == 20
+
+
 PAGE = '<html><head><title>t</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">{0}</a></li></ul></nav><div class="ad">Buy {0}</div><article><h1>T {1}</h1><p><b>One &amp; {1}<br>two</p><p>In<i>li</i>ne {2}<p>Last</article><section id="comments"><p>nice</p></section><footer>f {0}</footer></body></html>'
 
 

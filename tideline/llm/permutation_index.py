@@ -1,4 +1,4 @@
-"""Nearest neighbours by a permutation index.
+"""Nearest neighbours by a permutation index, made exact by a second pass.
 
 A vector is represented by its ``prefix`` nearest pivots in order and posted in the inverted file of each of them. A query
 visits the files of its own pivots; in each, postings are ranked by footrule distance (the sum over pivots of how far
@@ -7,13 +7,21 @@ inner product in double precision, and the nearest ``k`` of the file go on. A pa
 in the file of the query's first one. Files of over ``chunk_rows`` postings are dealt in chunks that meet the queries in
 blocks, so no task holds more; a query's rows are as many for each file, whatever its size.
 
+What the first pass finds secures a query only against rows that can't reach its k-th score. Rows are also dealt in cells,
+by their first pivot and the angle to it; of a cell the ranges of its rows' angles to all pivots and the longest vector are
+known. As angles obey the triangle inequality, they bound the scores of a query in a cell from above, and the query meets
+all rows of each cell whose bound reaches its k-th score (of every cell, if it has fewer than k rows). So each query gets
+its k nearest rows exactly, all others if they are fewer, whatever the pivots and the footrule bound; those decide how
+many cells are met again: few on clustered vectors, all on vectors without structure, in blocks as before.
+
 Pivots, and the footrule bound, are fitted on at most ``sample_rows`` vectors (those whose ids hash lowest): the bound is
 the ``coverage`` quantile of the footrule distances between sampled vectors and their k nearest others. Every row is
-posted. Tables no larger than the sample use whole permutations and no bound, so they are searched exactly.
+posted.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those with
 a null id or of another length than the sample's commonest; rows with the query's id are the query's own; a query id that
-occurs twice is one query; ties go to smaller ids. An empty table gives an empty result; other columns are not read.
+occurs twice is one query, of its least vector; ties go to smaller ids. An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +38,8 @@ from tideline.llm.embedding_dedup import usable
 
 PIVOTS = 64
 BLOCK = 128
+#: Ranges of the angle to the first pivot that make cells.
+BANDS = 16
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -55,6 +65,38 @@ def footrules(queries: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pairs(queries: np.ndarray, positions: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The footrule distances of the pairs of queries i and rows j."""
+    m = queries.shape[1]
+    out = np.full(len(i), m * (m + 1) // 2, np.int16)
+    for at in range(m):
+        p = positions[queries[i, at], j]
+        out += np.abs(p - np.int16(at)) + p - np.int16(m)
+    return out
+
+
+def angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """(rows, pivots) angles; pivots have length 1."""
+    return np.arccos(np.clip((x @ pivots.T) / np.linalg.norm(x, axis=1, keepdims=True), -1, 1))
+
+
+def cells_of(perms: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """The number of each row's cell: its first pivot and the band of its angle to it."""
+    first = perms[:, 0].astype(np.int32)
+    band = (angle[np.arange(len(first)), first] * (BANDS / np.pi)).astype(np.int32)
+    return first * BANDS + np.minimum(band, BANDS - 1)
+
+
+def _reach(x: np.ndarray, least: np.ndarray, angle: np.ndarray, long: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(queries, cells): whether some vector within the cell's ranges may score least or more. The slack covers rounding."""
+    gap = np.zeros((len(x), len(long)))
+    for p in range(angle.shape[1]):
+        a = angle[:, p : p + 1]
+        np.maximum(gap, np.maximum(low[None, :, p] - a, a - high[None, :, p]), out=gap)
+    most = np.linalg.norm(x, axis=1)[:, None] * long[None, :]
+    return most * (np.maximum(np.cos(np.clip(gap - 1e-6, 0, np.pi)), 0) + 1e-9) + 1e-9 >= least[:, None]
+
+
 def nearest(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of each query's k nearest allowed rows; ties at the end to smaller ids."""
     rough = np.where(allowed, queries @ x.T, -np.inf)
@@ -78,35 +120,35 @@ def search(table: DataFrame, is_query: Column, k: int = 20, prefix: int = 12, co
     sizes = [len(r["vector"]) for r in sample]
     dim = max(set(sizes), key=lambda d: (sizes.count(d), -d))
     x = np.array([r["vector"] for r in sample if len(r["vector"]) == dim], np.float64)
-    whole = len(sample) <= sample_rows
+    x = x[:sample_rows]
     pivots = x[:PIVOTS] / np.linalg.norm(x[:PIVOTS], axis=1, keepdims=True)
     n_pivots = len(pivots)
-    m = n_pivots if whole else min(prefix, n_pivots)
-    bound = np.iinfo(np.int16).max
-    if not whole:
-        perms = permutations(x, pivots, m)
-        held = footrules(perms[:256], _positions(perms, n_pivots))
-        allowed = np.arange(len(x))[None, :] != np.arange(min(256, len(x)))[:, None]
-        q, r, _ = nearest(x[:256], np.arange(256), x, np.arange(len(x)), allowed, k)
-        bound = int(np.quantile(held[q, r], coverage))
+    m = min(prefix, n_pivots)
+    perms = permutations(x, pivots, m)
+    distances = footrules(perms[:256], _positions(perms, n_pivots))
+    allowed = np.arange(len(x))[None, :] != np.arange(min(256, len(x)))[:, None]
+    q, r, _ = nearest(x[:256], np.arange(256), x, np.arange(len(x)), allowed, k)
+    bound = min(int(np.quantile(distances[q, r], coverage)) if len(q) else m * (m + 1), m * (m + 1) - 1)  # beyond, no pivot is shared
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column("vector").flatten().to_numpy().astype(np.float64).reshape(len(batch), dim)
             p = permutations(v, pivots, m)
             lists = pa.ListArray.from_arrays(np.arange(0, p.size + 1, m, dtype=np.int32), pa.array(p.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["vec_id", "vector", "asks", "perm"])
+            cell = pa.array(cells_of(p, angles(v, pivots)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, cell], ["vec_id", "vector", "asks", "perm", "cell"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    posted = cut(rows.where(F.size("vector") == dim).mapInArrow(post, f"vec_id long, vector {kind}, asks boolean, perm array<tinyint>"))
+    posted = cut(rows.where(F.size("vector") == dim).mapInArrow(post, f"vec_id long, vector {kind}, asks boolean, perm array<tinyint>, cell int"))
+    queries = cut(posted.where("asks").groupBy("vec_id").agg(F.min(F.struct("vector", "perm")).alias("x")).select("vec_id", "x.vector", "x.perm"))
     lengths = posted.select(F.explode("perm").alias("pivot"), "asks").groupBy("pivot").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()  # a row a pivot
     chunks = {r["pivot"]: (-(-r["n"] // chunk_rows), max(1, -(-r["q"] // query_rows))) for r in lengths}
     across, down = (F.element_at(F.array(*(F.lit(chunks.get(p, (1, 1))[i]) for p in range(n_pivots))), F.col("pivot").cast("int") + 1) for i in range(2))
-    files = posted.select("vec_id", "vector", "asks", "perm", F.explode("perm").alias("pivot")).select("*", across.alias("across"), down.alias("down"))
+    post_in = lambda df: df.select("vec_id", "vector", "perm", F.explode("perm").alias("pivot")).select("*", across.alias("across"), down.alias("down"))
     place = lambda n: F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = files.select("vec_id", "vector", "perm", "pivot", F.lit(False).alias("asks"), place("across").alias("a"), each("down").alias("d"))
-    asked = files.where("asks").dropDuplicates(["vec_id", "pivot"]).select("vec_id", "vector", "perm", "pivot", "asks", place("down").alias("d"), each("across").alias("a"))
+    held = post_in(posted).select("vec_id", "vector", "perm", "pivot", F.lit(False).alias("asks"), place("across").alias("a"), each("down").alias("d"))
+    asked = post_in(queries).select("vec_id", "vector", "perm", "pivot", F.lit(True).alias("asks"), place("down").alias("d"), each("across").alias("a"))
     cells = held.select("vec_id", "vector", "perm", "pivot", "asks", "a", "d").union(asked.select("vec_id", "vector", "perm", "pivot", "asks", "a", "d"))
 
     def meet(t: pa.Table) -> pa.Table:
@@ -133,6 +175,92 @@ def search(table: DataFrame, is_query: Column, k: int = 20, prefix: int = 12, co
         a, b, s = (np.concatenate(o) if o else np.empty(0) for o in out)
         return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
 
-    found = cells.groupBy("pivot", "a", "d").applyInArrow(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = cut(top(cells.groupBy("pivot", "a", "d").applyInArrow(meet, "query_id long, vec_id long, score double")).select("query_id", "vec_id", "score"))
+    least = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+    asked = queries.join(least, "vec_id", "left").select("vec_id", "vector", "perm", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    rest = _rest(posted, asked, kind, pivots, m, bound, k, chunk_rows)
+    return top(found.union(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _rest(posted: DataFrame, asked: DataFrame, kind: str, pivots: np.ndarray, m: int, bound: int, k: int, chunk_rows: int, most_queries: int = 65536) -> DataFrame:
+    """(query_id, vec_id, score) of rows that the files didn't compare with a query and that may be among its k nearest."""
+    n_pivots, dim = pivots.shape
+    unpack = lambda column: column.flatten().to_numpy().astype(np.float64).reshape(len(column), dim)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, long = np.zeros(n_pivots * BANDS, np.int64), np.zeros(n_pivots * BANDS)
+        low, high = np.full((n_pivots * BANDS, n_pivots), np.inf), np.full((n_pivots * BANDS, n_pivots), -np.inf)
+        for batch in batches:
+            v, cell = unpack(batch.column(1)), batch.column(0).to_numpy()
+            a = angles(v, pivots)
+            np.add.at(n, cell, 1)
+            np.maximum.at(long, cell, np.linalg.norm(v, axis=1))
+            np.minimum.at(low, cell, a)
+            np.maximum.at(high, cell, a)
+        at = np.flatnonzero(n)
+        lists = [pa.array(list(side[at]), pa.list_(pa.float64())) for side in (low, high)]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(long[at]), *lists], ["cell", "n", "long", "low", "high"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        low, high = (np.array(t.column(c).to_pylist()) for c in ("low", "high"))
+        return pa.table({"cell": t.column("cell")[:1], "n": [sum(t.column("n").to_pylist())], "long": [max(t.column("long").to_pylist())], "low": [low.min(axis=0)], "high": [high.max(axis=0)]})
+
+    ranges = "cell int, n long, long double, low array<double>, high array<double>"
+    cells = posted.select("cell", "vector").mapInArrow(measure, ranges).groupBy("cell").applyInArrow(merge, ranges).collect()  # at most n_pivots * BANDS rows
+    cells.sort(key=lambda r: r["cell"])
+    long, low, high = np.array([r["long"] for r in cells]), np.array([r["low"] for r in cells]), np.array([r["high"] for r in cells])
+    # small cells share a chunk, large ones are dealt in several
+    firsts, spans, chunks, filled = {}, {}, 0, chunk_rows
+    for r in cells:
+        spans[r["cell"]] = -(-r["n"] // chunk_rows)
+        if filled + r["n"] > chunk_rows:
+            chunks, filled = chunks + spans[r["cell"]], 0
+            firsts[r["cell"]] = chunks - spans[r["cell"]]
+        else:
+            firsts[r["cell"]] = chunks - 1
+        filled = chunk_rows if spans[r["cell"]] > 1 else filled + r["n"]
+    members = np.zeros((len(cells), chunks), bool)
+    for i, r in enumerate(cells):
+        members[i, firsts[r["cell"]] : firsts[r["cell"]] + spans[r["cell"]]] = True
+    down = -(-asked.count() // most_queries) or 1
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, least = unpack(batch.column("vector")), batch.column("least").to_numpy()
+            to = [np.flatnonzero(x) for x in _reach(v, least, angles(v, pivots), long, low, high) @ members] if len(batch) else []
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, to)]).astype(np.int32), pa.array(np.concatenate([*to, np.empty(0)]), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "chunks"])
+
+    number = lambda of: F.element_at(F.array(*(F.lit(of.get(c, 0)) for c in range(n_pivots * BANDS))), F.col("cell") + 1)
+    place = lambda n: F.pmod(F.xxhash64(F.lit(5), "vec_id"), n).cast("int")
+    own = posted.select("vec_id", "vector", "perm", F.lit(None).cast("double").alias("least"), (number(firsts) + place(F.greatest(number(spans), F.lit(1)))).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("d"))
+    sent = asked.mapInArrow(route, f"vec_id long, vector {kind}, perm array<tinyint>, least double, chunks array<int>")
+    sent = sent.select("vec_id", "vector", "perm", "least", F.explode("chunks").alias("chunk"), place(F.lit(down)).alias("d"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy()
+        ids, vectors, perms = t.column("vec_id").to_numpy(), flat("vector").astype(np.float64).reshape(len(t), dim), flat("perm").reshape(len(t), m)
+        asks = t.column("least").is_valid().to_numpy()
+        least = t.column("least").to_numpy()
+        held, asked_ = np.flatnonzero(~asks), np.flatnonzero(asks)
+        out: list[list[np.ndarray]] = [[], [], []]
+        if len(held) and len(asked_):
+            positions, x = _positions(perms[held], n_pivots), vectors[held]
+            for at in range(0, len(asked_), BLOCK):
+                q = asked_[at : at + BLOCK]
+                may = vectors[q] @ x.T >= (least[q] - 1e-9 * np.maximum(1, np.where(np.isfinite(least[q]), np.abs(least[q]), 0)))[:, None]
+                may &= ids[q][:, None] != ids[held][None, :]
+                i, j = np.nonzero(may)
+                may[i, j] = _pairs(perms[q], positions, i, j) > bound  # the files compared the others
+                some = np.flatnonzero(may.any(axis=0))
+                if len(some):
+                    i, j, score = nearest(vectors[q], ids[q], x[some], ids[held[some]], may[:, some], k)
+                    for o, v in zip(out, (ids[q][i], ids[held[some]][j], score), strict=True):
+                        o.append(v)
+        a, b, s = (np.concatenate(o) if o else np.empty(0) for o in out)
+        return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
+
+    return own.union(sent).groupBy("chunk", "d").applyInArrow(meet, "query_id long, vec_id long, score double")
