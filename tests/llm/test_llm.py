@@ -333,6 +333,20 @@ def test_template_is_learned_without_articles(spark):
     assert got[4] == "Story number 4 of many <444444444"
 
 
+def test_template_is_counted_over_all_pages_of_a_host(spark):
+    """Two layouts, an index page and an error page without the boilerplate, copies of a page, a host of two pages."""
+    one = "<body><div>Welcome to our site</div><section><p>Story number {0} of many that were told on this site, {0}</p></section><div>All about us</div></body>"
+    two = "<body><div>Bienvenue chez nous</div><table><tr><td>Table number {0} of many that were told on this site, {0}</td></tr></table><div>Tout sur nous</div></body>"
+    inside = "<body><article><p>Read our other papers</p><p>Report number {0} with all of its findings</p></article></body>"
+    pages = [(i, "http://a.example/", (two if i % 3 == 0 else one).format(i)) for i in range(90)]
+    pages += [(100, "http://a.example/", "<body><ul><li>Index</li></ul></body>"), (101, "http://a.example/", "<body><p>Not found</p></body>")]
+    pages += [(200 + i, "http://b.example/", one.format(i)) for i in range(2)] + [(300 + i, "http://c.example/", inside.format(max(i, 8))) for i in range(24)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"Table number {i} of many that were told on this site, {i}" if i % 3 == 0 else f"Story number {i} of many that were told on this site, {i}") for i in range(90))
+    assert (got[100], got[101]) == ("Index", "Not found") and all(got[200 + i] == f"Story number {i} of many that were told on this site, {i}" for i in range(2))
+    assert all(got[300 + i] == f"Report number {max(i, 8)} with all of its findings" for i in range(24))
+
+
 def test_tree_matching():
     a, b = html_extraction.parse("<ul><li>1<li>2<li>3</ul>"), html_extraction.parse("<ul><li>1</li><p>x</p><li>3</li></ul>")
     assert len(list(html_extraction.align(a, b))) == 4 == html_extraction._score(a, b, {})
