@@ -347,6 +347,14 @@ def test_template_is_counted_over_all_pages_of_a_host(spark):
     assert all(got[300 + i] == f"Report number {max(i, 8)} with all of its findings" for i in range(24))
 
 
+@pytest.mark.parametrize("region", ["article", "main"])
+def test_linked_lists_in_articles_stay(spark, region):
+    links = "<{0}><a href='/a'>Adams 1979</a> <a href='/b'>Brown 1983</a></{0}>"
+    page = f"<body>{links.format('div')}<{region}><p>Text.</p><ul><li><a href='/c'>Clark 1990</a></li><li><a href='/d'>Davis 1991</a></li></ul>{links.format('section')}</{region}></body>"
+    table = spark.createDataFrame([(1, "http://a.example/", page), (2, "http://b.example/", f"<body>{links.format('div')}<p>Text.</p></body>")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extraction.main_text(table).collect()} == {1: "Text. Clark 1990 Davis 1991 Adams 1979 Brown 1983", 2: "Text."}
+
+
 def test_tree_matching():
     a, b = html_extraction.parse("<ul><li>1<li>2<li>3</ul>"), html_extraction.parse("<ul><li>1</li><p>x</p><li>3</li></ul>")
     assert len(list(html_extraction.align(a, b))) == 4 == html_extraction._score(a, b, {})
