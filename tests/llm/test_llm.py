@@ -4,6 +4,7 @@ empty tables, clashing columns."""
 import hashlib
 import html
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -373,6 +374,19 @@ def test_licenses(spark):
     assert licenses.licences(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 
 
+@pytest.mark.parametrize("width", [40, 72, 80])
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_licences(spark, width, mark):
+    wrapped = lambda text: "\n".join(mark + line for line in textwrap.wrap(text, width))
+    wanted = {"mit": 2, "bsd": 0, "gpl": 2, "agpl": 1, "apache-2.0": 1}
+    data = [(f, 0, wrapped(licenses.TEMPLATES[f][i])) for f, i in wanted.items()]
+    data += [(f, 1, f"Copyright 2020 A. Author\n{text}\n{passage(12)}\n\n{passage(30)}") for f, _, text in data]
+    data += [("none", 2, wrapped(passage(200))), ("none", 3, wrapped("A driver must carry a license at all times and the weather was fine that day on the way to the public library."))]
+    got = licenses.licences(spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(data)], "doc_id long, text string")).collect()
+    assert [(r["family"], r["confirmed"]) for r in got] == [(f, f != "none") for f, _, _ in data]
+    assert all(r["n_paragraphs"] == 1 for r, (f, k, _) in zip(got, data, strict=True) if k == 0 and f != "apache-2.0")  # its first line has a template of its own
+
+
 @pytest.mark.parametrize("grades", [2, 4])
 def test_ordinal_fit(grades):
     rng = np.random.default_rng(0)

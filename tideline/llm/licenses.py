@@ -1,11 +1,19 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams, confirmed by template comparison.
 
 A multinomial logistic regression (L1) on the presence of words and word pairs tells the family of each paragraph (a line
-of the text), or ``unknown`` (licence-like, of no known family) or ``none``. It is trained on the driver, on the templates
+of the text, or a window), or ``unknown`` (licence-like, of no known family) or ``none``. It is trained on the driver, on the templates
 below with seeded word losses, insertions and mixtures; a temperature fitted on held-out variants calibrates its
 probabilities, the unknown class's among them. A predicted family is confirmed if the paragraph holds at least 0.8 of the
 five-word shingles of one of the family's templates (of a shorter template, all its words in a row); else the paragraph
-counts as unknown. Scoring is one projection over whole texts, by SQL expressions alone: no shuffle, no join, no Python on
+counts as unknown.
+
+Notices wrapped over lines are found in windows: each line's last words and the words of the lines below it up to a blank
+one, on either side as many as the longest template has, so every template that starts in the line lies in its window,
+however it is wrapped and whatever comment marks stand between. A window counts if it is confirmed and no line in it is
+confirmed of the same family; of such windows in a row that are of one family the last counts, as one paragraph in place
+of its unconfirmed lines. Only windows that hold a shingle of a template are scored.
+
+Scoring is one projection over whole texts, by SQL expressions alone: no shuffle, no join, no Python on
 executors. Every word pair of the vocabulary holds a word of it, so paragraphs without such a word are ``none`` unread.
 
 Defined results: null and empty texts have no licence; ids pass through as they are, null or repeated; equal rows give
@@ -178,8 +186,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     known = f"from_json({_literal(json.dumps({f: [shingles(words(t)) for t in ts] for f, ts in TEMPLATES.items()}))}, 'map<string,array<array<string>>>')"
     start = f"array({', '.join(f'{b}D' for b in bias)})"
     names = f"array({', '.join(map(_literal, CLASSES))})"
+    lines = "transform(split(coalesce(text, ''), '\\\\n'), (p, i) -> named_struct('i', i, 'w', filter(split(lower(p), '[^a-z0-9]+'), w -> w <> '')))"
+    most = max(len(words(t)) for ts in TEMPLATES.values() for t in ts)
+    pieces: dict[int, set[str]] = {}
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        pieces.setdefault(min(SHINGLE, len(words(t))), set()).update(shingles(words(t)))
+    held = " OR ".join(f"array_join(slice(p.w, k, {n}), ' ') IN ({', '.join(map(_literal, sorted(ts)))})" for n, ts in sorted(pieces.items()))
+    after = (
+        f"aggregate(slice(x, k + 2, {most}), named_struct('w', CAST(array() AS ARRAY<STRING>), 'stop', false, 'end', k), (acc, l) -> IF(acc.stop OR size(l.w) = 0 OR size(acc.w) >= {most}, "
+        "named_struct('w', acc.w, 'stop', true, 'end', acc.end), named_struct('w', concat(acc.w, l.w), 'stop', false, 'end', l.i)))"
+    )
+    # the number of a window holds its first and its last line
+    windows = [
+        f"IF(exists(x, p -> exists(p.w, w -> w IN ({single}))), transform(x, (p, k) -> named_struct('w', p.w, 'i', k, 'after', IF(size(p.w) = 0, NULL, {after}))), NULL)",
+        f"transform(filter(x, p -> size(p.after.w) > 0), p -> named_struct('i', shiftleft(CAST(p.i AS BIGINT), 32) + p.after.end, 'w', concat(slice(p.w, greatest(1, size(p.w) - {most - 1}), {most}), slice(p.after.w, 1, {most}))))",
+        f"coalesce(filter(x, p -> exists(sequence(1, size(p.w)), k -> {held})), array())",
+    ]
     steps = [
-        "transform(split(coalesce(text, ''), '\\\\n'), (p, i) -> named_struct('i', i, 'w', filter(split(lower(p), '[^a-z0-9]+'), w -> w <> '')))",
         f"filter(x, p -> exists(p.w, w -> w IN ({single})))",
         f"transform(x, p -> named_struct('i', p.i, 'w', p.w, 'g', filter(array_distinct(concat(p.w, zip_with(p.w, slice(p.w, 2, size(p.w)), (a, b) -> concat(a, ' ', b)))), g -> g IN ({every}))))",
         f"transform(x, p -> named_struct('i', p.i, 'w', p.w, 'z', aggregate(p.g, {start}, (acc, g) -> zip_with(acc, element_at({weights}, g), (a, b) -> a + b))))",
@@ -188,12 +211,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         f"transform(x, p -> named_struct('paragraph', p.i, 'family', p.family, 'probability', p.p, 'confirmed', p.p >= {SURE}D AND exists(coalesce(try_element_at({known}, p.family), array()), t -> size(filter(t, s -> instr(p.w, concat(' ', s, ' ')) > 0)) >= {SHARE}D * size(t))))",
         "transform(x, p -> named_struct('paragraph', p.paragraph, 'family', CASE WHEN p.confirmed THEN p.family ELSE 'unknown' END, 'probability', p.probability, 'confirmed', p.confirmed))",
     ]
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
-    for k, step in enumerate(steps):
-        rows = rows.select(id_col, F.expr(step).alias("x"))
-        if k == len(steps) - 1:
-            rows = rows.withColumnRenamed("x", "licences")
-    return rows
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).select(id_col, F.expr(lines).alias("x"))
+    rows = rows.select(id_col, "x", F.expr(windows[0]).alias("y"))
+    over = lambda step, name: F.expr(step.replace("(x, ", f"({name}, ", 1)).alias(name)
+    for step in windows[1:]:
+        rows = rows.select(id_col, "x", over(step, "y"))
+    for step in steps:
+        rows = rows.select(id_col, over(step, "x"), over(step, "y"))
+    span = "named_struct('paragraph', CAST(shiftright(p.paragraph, 32) AS INT), 'end', CAST(p.paragraph & 4294967295L AS INT), 'family', p.family, 'probability', p.probability, 'confirmed', true)"
+    rows = rows.select(id_col, "x", F.expr(f"transform(filter(y, p -> p.confirmed), p -> {span})").alias("y"))
+    rows = rows.select(id_col, "x", F.expr("filter(y, p -> NOT exists(x, l -> l.confirmed AND l.family = p.family AND l.paragraph BETWEEN p.paragraph AND p.end))").alias("y"))
+    rows = rows.select(id_col, F.expr("filter(x, l -> l.confirmed OR NOT exists(y, p -> l.paragraph BETWEEN p.paragraph AND p.end))").alias("x"), F.expr("filter(y, p -> NOT exists(y, q -> q.paragraph = p.paragraph + 1 AND q.family = p.family))").alias("y"))
+    joined = "array_sort(concat(x, transform(y, p -> named_struct('paragraph', p.paragraph, 'family', p.family, 'probability', p.probability, 'confirmed', p.confirmed))))"
+    return rows.select(id_col, F.expr(joined).alias("licences"))
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
