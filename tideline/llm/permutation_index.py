@@ -1,22 +1,25 @@
-"""Nearest neighbours by a permutation index, made exact by a second pass.
-
-A vector is represented by its ``prefix`` nearest pivots in order and posted in the inverted file of each of them. A query
-visits the files of its own pivots; in each, postings are ranked by footrule distance (the sum over pivots of how far
-apart their two positions are, a pivot outside the prefix standing at its end), those within ``footrule`` are reranked by
-inner product in double precision, and the nearest ``k`` of the file go on. A pair that shares several pivots is judged
-in the file of the query's first one. Files of over ``chunk_rows`` postings are dealt in chunks that meet the queries in
-blocks, so no task holds more; a query's rows are as many for each file, whatever its size.
-
-What the first pass finds secures a query only against rows that can't reach its k-th score. Rows are also dealt in cells,
-by their first pivot and the angle to it; of a cell the ranges of its rows' angles to all pivots and the longest vector are
-known. As angles obey the triangle inequality, they bound the scores of a query in a cell from above, and the query meets
-all rows of each cell whose bound reaches its k-th score (of every cell, if it has fewer than k rows). So each query gets
-its k nearest rows exactly, all others if they are fewer, whatever the pivots and the footrule bound; those decide how
-many cells are met again: few on clustered vectors, all on vectors without structure, in blocks as before.
-
-Pivots, and the footrule bound, are fitted on at most ``sample_rows`` vectors (those whose ids hash lowest): the bound is
-the ``coverage`` quantile of the footrule distances between sampled vectors and their k nearest others. Every row is
-posted.
+"""Nearest neighbours by a permutation index: footrule distance ranks, inner products rerank.
+
+A vector is represented by the numbers of its ``prefix`` nearest pivots, nearest first, and posted in the inverted files of
+its ``posts`` nearest ones. A query visits the files of all pivots of its own prefix. There its footrule distance to every
+posting is added up (the sum over pivots of how far apart their two positions are, a pivot outside a prefix standing at its
+end), and only postings within the query's footrule bound are reranked by inner product in double precision. A row that
+stands in two files the query visits is met in the one of its nearer pivot.
+
+The bound is the query's own: it asks for that share of all rows, by footrule, that held ``coverage`` of the k nearest of
+sampled queries as crowded as itself (crowding is the mean of the k least footrule distances to the sample; shares are
+fitted in ranges of it), and reads the bound off its distances to the sample. So it holds as many candidates for a lone
+vector as its loneliness asks for. The k nearest of a table are nearer than those of a sample of it, so recall grows.
+
+What a query visits may hold fewer than k rows; such queries meet all rows, in blocks. With ``exact`` each query is made
+exact by a second pass: rows are also dealt in cells, by their nearest anchor (the first pivots) and the angle to it; of a cell the ranges of
+its rows' angles to all anchors and the longest vector are known. As angles obey the triangle inequality, they bound the
+scores of a query in a cell, and the query meets all rows of each cell whose bound reaches its k-th score: few cells on
+clustered vectors, all of them on vectors without structure.
+
+Files, and cells, are dealt in chunks of ``chunk_rows``, small ones together and large ones in several, and chunks meet
+queries in blocks, so no task holds more. Pivots (as many as the root of the number of rows, 256 at least, 4,096 at most)
+and shares are fitted on at most ``sample_rows`` vectors, those whose ids hash lowest. Every row is posted.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those with
 a null id or of another length than the sample's commonest; rows with the query's id are the query's own; a query id that
@@ -27,52 +30,98 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import cut
 from tideline.llm.embedding_dedup import usable
 
-PIVOTS = 64
-BLOCK = 128
-#: Ranges of the angle to the first pivot that make cells.
-BANDS = 16
+PIVOTS = (256, 4096)
+#: Queries and rows of a tile that footrule distances are added up in, so that it stays in a cache.
+TILE_QUERIES, TILE_ROWS = 32, 2048
+#: Cells of the exact pass: pivots that anchor them and ranges of the angle to the nearest.
+ANCHORS, BANDS = 64, 16
+#: Ranges of crowding that have shares of their own.
+RANGES = 8
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The numbers of each row's nearest pivots, nearest first."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int8)
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int16)
 
 
-def _positions(perms: np.ndarray, n_pivots: int) -> np.ndarray:
+def positions(perms: np.ndarray, n_pivots: int) -> np.ndarray:
     """(pivots, rows): where each pivot stands in each row's permutation; past its end if it isn't there."""
     n, m = perms.shape
-    out = np.full((n_pivots, n), m, np.int16)
+    out = np.full((n_pivots, n), m, np.int32 if m > 180 else np.uint16)
     out[perms.T, np.arange(n)] = np.arange(m)[:, None]
     return out
 
 
-def footrules(queries: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """(queries, rows) footrule distances of permutations."""
+def footrules(queries: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(queries, rows) footrule distances of permutations to rows of known positions. With i and p the positions of a
+    pivot of the query, |i - p| and what the row's own pivots add come to 2 max(i, p) and a constant."""
     m = queries.shape[1]
-    out = np.full((len(queries), positions.shape[1]), m * (m + 1) // 2, np.int16)
+    out = np.zeros((len(queries), at.shape[1]), at.dtype)
     for i in range(m):
-        p = positions[queries[:, i]]
-        out += np.abs(p - np.int16(i)) + p - np.int16(m)
-    return out
-
-
-def _pairs(queries: np.ndarray, positions: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The footrule distances of the pairs of queries i and rows j."""
-    m = queries.shape[1]
-    out = np.full(len(i), m * (m + 1) // 2, np.int16)
-    for at in range(m):
-        p = positions[queries[i, at], j]
-        out += np.abs(p - np.int16(at)) + p - np.int16(m)
-    return out
+        p = at[queries[:, i]]
+        out += np.maximum(p, at.dtype.type(i), out=p)
+    return 2 * out.astype(np.int32) - (m * (m - 1) // 2 + m * m - m * (m + 1) // 2)
+
+
+@dataclass
+class Index:
+    """What is fitted on the sample."""
+
+    pivots: np.ndarray  # of length 1
+    perms: np.ndarray  # of the sample
+    ids: np.ndarray
+    edges: np.ndarray  # of the ranges of crowding
+    shares: np.ndarray  # one more
+    k: int
+
+    @property
+    def prefix(self) -> int:
+        return self.perms.shape[1]
+
+    def bounds(self, perms: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The footrule bound of each query."""
+        out = np.empty(len(perms), np.int32)
+        at = positions(self.perms, len(self.pivots))
+        for low in range(0, len(perms), TILE_QUERIES):
+            far = np.sort(np.where(self.ids[None, :] == ids[low : low + TILE_QUERIES, None], 1 << 30, footrules(perms[low : low + TILE_QUERIES], at)), axis=1)
+            share = self.shares[np.searchsorted(self.edges, far[:, : self.k].mean(axis=1))]
+            place = np.minimum(np.ceil(share * far.shape[1]).astype(int), far.shape[1] - 1)
+            out[low : low + len(far)] = far[np.arange(len(far)), place]
+        return out
+
+
+def fit(x: np.ndarray, ids: np.ndarray, n_pivots: int, prefix: int, k: int, coverage: float, asked: int = 384) -> Index:
+    """Pivots, and the shares of rows by footrule that hold ``coverage`` of the k nearest of sampled queries."""
+    pivots = x[:n_pivots] / np.linalg.norm(x[:n_pivots], axis=1, keepdims=True)
+    perms = permutations(x, pivots, min(prefix, len(pivots)))
+    at, n = positions(perms, len(pivots)), len(x)
+    crowding, shares = [], []
+    for i in range(min(asked, n)):
+        others = np.flatnonzero(ids != ids[i])
+        if not len(others):
+            continue
+        far = footrules(perms[i : i + 1], at)[0][others]
+        best = others[np.argsort(-(x[others] @ x[i]), kind="stable")[:k]]
+        ranks = np.searchsorted(np.sort(far), footrules(perms[i : i + 1], at[:, best])[0], "right") / len(others)
+        crowding.append(np.sort(far)[:k].mean())
+        shares.append(ranks)
+    if not shares:
+        return Index(pivots, perms, ids, np.empty(0), np.ones(1), k)
+    edges = np.unique(np.quantile(crowding, np.arange(1, RANGES) / RANGES))
+    place = np.searchsorted(edges, crowding)
+    held = [np.concatenate([s for s, p in zip(shares, place, strict=True) if p == r] or [np.ones(1)]) for r in range(len(edges) + 1)]
+    return Index(pivots, perms, ids, edges, np.array([np.quantile(h, coverage) for h in held]), k)
 
 
 def angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -80,9 +129,9 @@ def angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip((x @ pivots.T) / np.linalg.norm(x, axis=1, keepdims=True), -1, 1))
 
 
-def cells_of(perms: np.ndarray, angle: np.ndarray) -> np.ndarray:
-    """The number of each row's cell: its first pivot and the band of its angle to it."""
-    first = perms[:, 0].astype(np.int32)
+def cells_of(angle: np.ndarray) -> np.ndarray:
+    """The number of each row's cell: its nearest anchor and the band of its angle to it."""
+    first = angle.argmin(axis=1).astype(np.int32)
     band = (angle[np.arange(len(first)), first] * (BANDS / np.pi)).astype(np.int32)
     return first * BANDS + np.minimum(band, BANDS - 1)
 
@@ -97,103 +146,180 @@ def _reach(x: np.ndarray, least: np.ndarray, angle: np.ndarray, long: np.ndarray
     return most * (np.maximum(np.cos(np.clip(gap - 1e-6, 0, np.pi)), 0) + 1e-9) + 1e-9 >= least[:, None]
 
 
-def nearest(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of each query's k nearest allowed rows; ties at the end to smaller ids."""
-    rough = np.where(allowed, queries @ x.T, -np.inf)
-    least = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k] if rough.shape[1] > k else np.full(len(rough), -np.inf)
-    slack = 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(least), least, 0)))
-    q, r = np.nonzero(allowed & (rough >= (least - slack)[:, None]))
-    score = np.einsum("ij,ij->i", queries[q], x[r])  # one way of summing for all, so equal vectors tie
+def best_of(q: np.ndarray, r: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best pairs of each query; ties to smaller ids."""
     order = np.lexsort((ids[r], -score, q))
     q, r, score = q[order], r[order], score[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    return q[rank < k], r[rank < k], score[rank < k]
+    own = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[own], r[own], score[own]
+
+
+def meet(queries: dict[str, np.ndarray], rows: dict[str, np.ndarray], n_pivots: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, row, score) of each query's k nearest candidates among the rows of one chunk, and how many were reranked."""
+    found: list[tuple[np.ndarray, ...]] = []
+    reranked = 0
+    at_q = positions(queries["perm"], n_pivots)
+    m = queries["perm"].shape[1]
+    for a in range(0, len(rows["ids"]), TILE_ROWS):
+        r = slice(a, a + TILE_ROWS)
+        at = positions(rows["perm"][r], n_pivots)
+        file, nearer = rows["file"][r], np.where(rows["post"][r] > 0, rows["perm"][r, 0], -1)
+        for b in range(0, len(queries["ids"]), TILE_QUERIES):
+            q = slice(b, b + TILE_QUERIES)
+            visits = at_q[:, q].T < m
+            may = visits[:, file] & ~((nearer >= 0)[None, :] & visits[:, nearer])
+            may &= (footrules(queries["perm"][q], at) <= queries["bound"][q, None]) & (queries["ids"][q, None] != rows["ids"][r][None, :])
+            i, j = np.nonzero(may)
+            if len(i):
+                reranked += len(i)
+                score = np.einsum("ij,ij->i", queries["x"][q][i], rows["x"][r][j])  # one way of summing, so equal vectors tie
+                i, j, score = best_of(i, j, score, rows["ids"][r], k)
+                found.append((i + b, j + a, score))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), 0
+    return *best_of(*(np.concatenate(f) for f in zip(*found, strict=True)), rows["ids"], k), reranked
+
+
+def scan_block(queries: dict[str, np.ndarray], rows: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """As meet(), of all rows that score the query's least or more."""
+    found: list[tuple[np.ndarray, ...]] = []
+    for b in range(0, len(queries["ids"]), 128):
+        q = slice(b, b + 128)
+        rough = np.where(queries["ids"][q, None] != rows["ids"][None, :], queries["x"][q] @ rows["x"].T, -np.inf)
+        least = np.maximum(queries["least"][q], np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else -np.inf)
+        slack = 1e-9 * np.maximum(1, np.abs(np.where(np.isfinite(least), least, 0)))
+        i, j = np.nonzero((rough >= (least - slack)[:, None]) & np.isfinite(rough))
+        i, j, score = best_of(i, j, np.einsum("ij,ij->i", queries["x"][q][i], rows["x"][j]), rows["ids"], k)
+        found.append((i + b, j, score))
+    return *(np.concatenate(f) for f in zip(*found, strict=True)), len(queries["ids"]) * len(rows["ids"])
+
+
+def dealt(sizes: dict[int, int], chunk_rows: int) -> tuple[dict[int, int], dict[int, int], int]:
+    """The first chunk of each group and how many it is dealt in, and the number of chunks: small groups share one."""
+    firsts, spans, chunks, filled = {}, {}, 0, chunk_rows
+    for g in sorted(sizes):
+        spans[g] = -(-sizes[g] // chunk_rows)
+        if filled + sizes[g] > chunk_rows:
+            firsts[g], chunks, filled = chunks, chunks + spans[g], 0
+        else:
+            firsts[g] = chunks - 1
+        filled = chunk_rows if spans[g] > 1 else filled + sizes[g]
+    return firsts, spans, chunks
+
+
+def _unpack(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), dim)
+
+
+def _number(of: dict[int, int], n: int, group: str) -> Column:
+    return F.element_at(F.array(*(F.lit(of.get(g, 0)) for g in range(n))), F.col(group).cast("int") + 1)
 
 
-def search(table: DataFrame, is_query: Column, k: int = 20, prefix: int = 12, coverage: float = 0.97, sample_rows: int = 2048, chunk_rows: int = 16384, query_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest rows of table to each of its rows that is_query holds of."""
+def _place(n: Column | int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(n) if isinstance(n, int) else n).cast("int")
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _meetings(held: DataFrame, asked: DataFrame, dim: int, down: int, run, counter: Accumulator | None) -> DataFrame:  # noqa: ANN001
+    """held (vec_id, vector, perm, file, post, chunk) meets asked (vec_id, vector, perm, bound, least, chunks), chunk by
+    chunk and in ``down`` blocks of queries."""
+    own = held.select("vec_id", "vector", "perm", "file", "post", F.lit(None).cast("int").alias("bound"), F.lit(None).cast("double").alias("least"), "chunk", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("d"))
+    sent = asked.select("vec_id", "vector", "perm", F.lit(-1).cast("smallint").alias("file"), F.lit(0).cast("smallint").alias("post"), "bound", "least", F.explode("chunks").alias("chunk"), _place(down).alias("d"))
+
+    def group(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        one = lambda c: t.column(c).combine_chunks()
+        whole = {"ids": one("vec_id").to_numpy(), "x": _unpack(one("vector"), dim), "file": one("file").to_numpy(), "post": one("post").to_numpy()}
+        whole["perm"] = one("perm").flatten().to_numpy().reshape(len(t), -1)
+        asks = one("bound").is_valid().to_numpy(zero_copy_only=False)
+        rows = {c: v[~asks] for c, v in whole.items()}
+        queries = {c: whole[c][asks] for c in ("ids", "x", "perm")} | {"bound": t.column("bound").to_numpy()[asks].astype(np.int32), "least": t.column("least").to_numpy()[asks]}
+        if asks.all() or not asks.any():
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        i, j, score, products = run(queries, rows)
+        if counter is not None:
+            counter.add(products)
+        return pa.table({"query_id": pa.array(queries["ids"][i], pa.int64()), "vec_id": pa.array(rows["ids"][j], pa.int64()), "score": pa.array(score, pa.float64())})
+
+    return own.union(sent).groupBy("chunk", "d").applyInArrow(group, FOUND)
+
+
+def search(
+    table: DataFrame, is_query: Column, k: int = 20, prefix: int = 128, posts: int = 2, coverage: float = 0.985, sample_rows: int = 2048, chunk_rows: int = 4096, query_rows: int = 65536,
+    exact: bool = False, counter: Accumulator | None = None, id_col: str = "vec_id", vector_col: str = "embedding",
+) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k nearest rows of table to each of its rows that is_query holds of. counter
+    adds up the inner products of queries and rows (of the index, not of fitting it)."""
     rows = table.where(usable(vector_col) & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    sample = rows.select("vec_id", F.col("vector").cast("array<double>").alias("vector")).orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(sample_rows + 1).collect()
+    sample = rows.select("vec_id", F.col("vector").cast("array<double>").alias("vector")).orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(sample_rows).collect()
     if not sample:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = [len(r["vector"]) for r in sample]
     dim = max(set(sizes), key=lambda d: (sizes.count(d), -d))
-    x = np.array([r["vector"] for r in sample if len(r["vector"]) == dim], np.float64)
-    x = x[:sample_rows]
-    pivots = x[:PIVOTS] / np.linalg.norm(x[:PIVOTS], axis=1, keepdims=True)
-    n_pivots = len(pivots)
-    m = min(prefix, n_pivots)
-    perms = permutations(x, pivots, m)
-    distances = footrules(perms[:256], _positions(perms, n_pivots))
-    allowed = np.arange(len(x))[None, :] != np.arange(min(256, len(x)))[:, None]
-    q, r, _ = nearest(x[:256], np.arange(256), x, np.arange(len(x)), allowed, k)
-    bound = min(int(np.quantile(distances[q, r], coverage)) if len(q) else m * (m + 1), m * (m + 1) - 1)  # beyond, no pivot is shared
+    rows = rows.where(F.size("vector") == dim)
+    sample = [r for r in sample if len(r["vector"]) == dim]
+    n_pivots = max(PIVOTS[0], min(PIVOTS[1], int(rows.count() ** 0.5)))
+    index = fit(np.array([r["vector"] for r in sample], np.float64), np.array([r["vec_id"] for r in sample]), n_pivots, prefix, k, coverage)
+    pivots, n_pivots, m = index.pivots, len(index.pivots), index.prefix
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column("vector").flatten().to_numpy().astype(np.float64).reshape(len(batch), dim)
+            v = _unpack(batch.column("vector"), dim)
             p = permutations(v, pivots, m)
             lists = pa.ListArray.from_arrays(np.arange(0, p.size + 1, m, dtype=np.int32), pa.array(p.reshape(-1)))
-            cell = pa.array(cells_of(p, angles(v, pivots)), pa.int32())
+            cell = pa.array(cells_of(angles(v, pivots[:ANCHORS])), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, cell], ["vec_id", "vector", "asks", "perm", "cell"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    posted = cut(rows.where(F.size("vector") == dim).mapInArrow(post, f"vec_id long, vector {kind}, asks boolean, perm array<tinyint>, cell int"))
-    queries = cut(posted.where("asks").groupBy("vec_id").agg(F.min(F.struct("vector", "perm")).alias("x")).select("vec_id", "x.vector", "x.perm"))
-    lengths = posted.select(F.explode("perm").alias("pivot"), "asks").groupBy("pivot").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()  # a row a pivot
-    chunks = {r["pivot"]: (-(-r["n"] // chunk_rows), max(1, -(-r["q"] // query_rows))) for r in lengths}
-    across, down = (F.element_at(F.array(*(F.lit(chunks.get(p, (1, 1))[i]) for p in range(n_pivots))), F.col("pivot").cast("int") + 1) for i in range(2))
-    post_in = lambda df: df.select("vec_id", "vector", "perm", F.explode("perm").alias("pivot")).select("*", across.alias("across"), down.alias("down"))
-    place = lambda n: F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = post_in(posted).select("vec_id", "vector", "perm", "pivot", F.lit(False).alias("asks"), place("across").alias("a"), each("down").alias("d"))
-    asked = post_in(queries).select("vec_id", "vector", "perm", "pivot", F.lit(True).alias("asks"), place("down").alias("d"), each("across").alias("a"))
-    cells = held.select("vec_id", "vector", "perm", "pivot", "asks", "a", "d").union(asked.select("vec_id", "vector", "perm", "pivot", "asks", "a", "d"))
-
-    def meet(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        asks = t.column("asks").to_numpy()
-        ids = t.column("vec_id").to_numpy()
-        vectors = t.column("vector").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(t), dim)
-        perms = t.column("perm").combine_chunks().flatten().to_numpy().reshape(len(t), m)
-        own, asked_ = np.flatnonzero(~asks), np.flatnonzero(asks)
-        out: list[list[np.ndarray]] = [[], [], []]
-        if len(own) and len(asked_):
-            pivot = t.column("pivot")[0].as_py()
-            positions = _positions(perms[own], n_pivots)
-            bits = np.left_shift(np.uint64(1), perms.astype(np.uint64))
-            holds = np.bitwise_or.reduce(bits[own], axis=1)
-            for low in range(0, len(asked_), BLOCK):
-                q = asked_[low : low + BLOCK]
-                at = (perms[q] == pivot).argmax(axis=1)
-                earlier = np.bitwise_or.reduce(np.where(np.arange(m)[None, :] < at[:, None], bits[q], np.uint64(0)), axis=1)
-                allowed = (footrules(perms[q], positions) <= bound) & ((earlier[:, None] & holds[None, :]) == 0) & (ids[q][:, None] != ids[own][None, :])
-                i, j, score = nearest(vectors[q], ids[q], vectors[own], ids[own], allowed, k)
-                for o, v in zip(out, (ids[q][i], ids[own][j], score), strict=True):
-                    o.append(v)
-        a, b, s = (np.concatenate(o) if o else np.empty(0) for o in out)
-        return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
+    posted = cut(rows.mapInArrow(post, f"vec_id long, vector {kind}, asks boolean, perm array<smallint>, cell int"))
+    queries = posted.where("asks").groupBy("vec_id").agg(F.min(F.struct("vector", "perm")).alias("x")).select("vec_id", "x.vector", "x.perm")
+    files = posted.select("vec_id", "vector", "perm", F.posexplode(F.slice("perm", 1, min(posts, m))).alias("post", "file"))
+    files = files.select("vec_id", "vector", "perm", F.col("post").cast("smallint").alias("post"), "file")
+    counts = {r["file"]: r["n"] for r in files.groupBy("file").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+    firsts, spans, chunks = dealt(counts, chunk_rows)
+    files = files.withColumn("chunk", _number(firsts, n_pivots, "file") + _place(F.greatest(_number(spans, n_pivots, "file"), F.lit(1))))
+    members = np.zeros((n_pivots, chunks), bool)
+    for f in counts:
+        members[f, firsts[f] : firsts[f] + spans[f]] = True
 
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("perm").flatten().to_numpy().reshape(-1, m)
+            to = [np.flatnonzero(members[x].any(axis=0)) for x in p]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, to)]).astype(np.int32), pa.array(np.concatenate([*to, np.empty(0)]), pa.int32()))
+            bound = pa.array(index.bounds(p, batch.column("vec_id").to_numpy()), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, bound, pa.nulls(len(batch), pa.float64()), lists], ["vec_id", "vector", "perm", "bound", "least", "chunks"])
+
+    routed = f"vec_id long, vector {kind}, perm array<smallint>, bound int, least double, chunks array<int>"
+    asked = cut(queries.mapInArrow(route, routed))
+    down = -(-asked.count() // query_rows) or 1
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    found = cut(top(cells.groupBy("pivot", "a", "d").applyInArrow(meet, "query_id long, vec_id long, score double")).select("query_id", "vec_id", "score"))
+    met = _meetings(files, asked, dim, down, lambda q, r: meet(q, r, n_pivots, k), counter)
+    found = cut(top(met).select("query_id", "vec_id", "score"))
     least = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
-    asked = queries.join(least, "vec_id", "left").select("vec_id", "vector", "perm", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    rest = _rest(posted, asked, kind, pivots, m, bound, k, chunk_rows)
-    return top(found.union(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    again = asked.drop("least", "chunks").join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    again = cut(again if exact else again.where(F.col("least") == float("-inf")))
+    if not again.isEmpty():
+        whole = _scan_cells(posted, again, kind, pivots[:ANCHORS], k, chunk_rows, query_rows, counter)
+        redone = again.select(F.col("vec_id").alias("query_id"))
+        found = found.join(redone, "query_id", "left_anti").union(whole)
+    return top(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _rest(posted: DataFrame, asked: DataFrame, kind: str, pivots: np.ndarray, m: int, bound: int, k: int, chunk_rows: int, most_queries: int = 65536) -> DataFrame:
-    """(query_id, vec_id, score) of rows that the files didn't compare with a query and that may be among its k nearest."""
+def _scan_cells(posted: DataFrame, asked: DataFrame, kind: str, pivots: np.ndarray, k: int, chunk_rows: int, query_rows: int, counter: Accumulator | None) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest rows, and ties, of each query of asked, whose ``least`` some k rows reach."""
     n_pivots, dim = pivots.shape
-    unpack = lambda column: column.flatten().to_numpy().astype(np.float64).reshape(len(column), dim)
+    n_cells = n_pivots * BANDS
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, long = np.zeros(n_pivots * BANDS, np.int64), np.zeros(n_pivots * BANDS)
-        low, high = np.full((n_pivots * BANDS, n_pivots), np.inf), np.full((n_pivots * BANDS, n_pivots), -np.inf)
+        n, long = np.zeros(n_cells, np.int64), np.zeros(n_cells)
+        low, high = np.full((n_cells, n_pivots), np.inf), np.full((n_cells, n_pivots), -np.inf)
         for batch in batches:
-            v, cell = unpack(batch.column(1)), batch.column(0).to_numpy()
+            v, cell = _unpack(batch.column(1), dim), batch.column(0).to_numpy()
             a = angles(v, pivots)
             np.add.at(n, cell, 1)
             np.maximum.at(long, cell, np.linalg.norm(v, axis=1))
@@ -208,59 +334,24 @@ def _rest(posted: DataFrame, asked: DataFrame, kind: str, pivots: np.ndarray, m:
         return pa.table({"cell": t.column("cell")[:1], "n": [sum(t.column("n").to_pylist())], "long": [max(t.column("long").to_pylist())], "low": [low.min(axis=0)], "high": [high.max(axis=0)]})
 
     ranges = "cell int, n long, long double, low array<double>, high array<double>"
-    cells = posted.select("cell", "vector").mapInArrow(measure, ranges).groupBy("cell").applyInArrow(merge, ranges).collect()  # at most n_pivots * BANDS rows
+    cells = posted.select("cell", "vector").mapInArrow(measure, ranges).groupBy("cell").applyInArrow(merge, ranges).collect()  # a row a cell
     cells.sort(key=lambda r: r["cell"])
     long, low, high = np.array([r["long"] for r in cells]), np.array([r["low"] for r in cells]), np.array([r["high"] for r in cells])
-    # small cells share a chunk, large ones are dealt in several
-    firsts, spans, chunks, filled = {}, {}, 0, chunk_rows
-    for r in cells:
-        spans[r["cell"]] = -(-r["n"] // chunk_rows)
-        if filled + r["n"] > chunk_rows:
-            chunks, filled = chunks + spans[r["cell"]], 0
-            firsts[r["cell"]] = chunks - spans[r["cell"]]
-        else:
-            firsts[r["cell"]] = chunks - 1
-        filled = chunk_rows if spans[r["cell"]] > 1 else filled + r["n"]
+    firsts, spans, chunks = dealt({r["cell"]: r["n"] for r in cells}, chunk_rows)
     members = np.zeros((len(cells), chunks), bool)
     for i, r in enumerate(cells):
         members[i, firsts[r["cell"]] : firsts[r["cell"]] + spans[r["cell"]]] = True
-    down = -(-asked.count() // most_queries) or 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, least = unpack(batch.column("vector")), batch.column("least").to_numpy()
+            v, least = _unpack(batch.column("vector"), dim), batch.column("least").to_numpy()
             to = [np.flatnonzero(x) for x in _reach(v, least, angles(v, pivots), long, low, high) @ members] if len(batch) else []
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, to)]).astype(np.int32), pa.array(np.concatenate([*to, np.empty(0)]), pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "chunks"])
 
-    number = lambda of: F.element_at(F.array(*(F.lit(of.get(c, 0)) for c in range(n_pivots * BANDS))), F.col("cell") + 1)
-    place = lambda n: F.pmod(F.xxhash64(F.lit(5), "vec_id"), n).cast("int")
-    own = posted.select("vec_id", "vector", "perm", F.lit(None).cast("double").alias("least"), (number(firsts) + place(F.greatest(number(spans), F.lit(1)))).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("d"))
-    sent = asked.mapInArrow(route, f"vec_id long, vector {kind}, perm array<tinyint>, least double, chunks array<int>")
-    sent = sent.select("vec_id", "vector", "perm", "least", F.explode("chunks").alias("chunk"), place(F.lit(down)).alias("d"))
-
-    def meet(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy()
-        ids, vectors, perms = t.column("vec_id").to_numpy(), flat("vector").astype(np.float64).reshape(len(t), dim), flat("perm").reshape(len(t), m)
-        asks = t.column("least").is_valid().to_numpy()
-        least = t.column("least").to_numpy()
-        held, asked_ = np.flatnonzero(~asks), np.flatnonzero(asks)
-        out: list[list[np.ndarray]] = [[], [], []]
-        if len(held) and len(asked_):
-            positions, x = _positions(perms[held], n_pivots), vectors[held]
-            for at in range(0, len(asked_), BLOCK):
-                q = asked_[at : at + BLOCK]
-                may = vectors[q] @ x.T >= (least[q] - 1e-9 * np.maximum(1, np.where(np.isfinite(least[q]), np.abs(least[q]), 0)))[:, None]
-                may &= ids[q][:, None] != ids[held][None, :]
-                i, j = np.nonzero(may)
-                may[i, j] = _pairs(perms[q], positions, i, j) > bound  # the files compared the others
-                some = np.flatnonzero(may.any(axis=0))
-                if len(some):
-                    i, j, score = nearest(vectors[q], ids[q], x[some], ids[held[some]], may[:, some], k)
-                    for o, v in zip(out, (ids[q][i], ids[held[some]][j], score), strict=True):
-                        o.append(v)
-        a, b, s = (np.concatenate(o) if o else np.empty(0) for o in out)
-        return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
-
-    return own.union(sent).groupBy("chunk", "d").applyInArrow(meet, "query_id long, vec_id long, score double")
+    nothing = F.array().cast("array<smallint>").alias("perm")
+    held = posted.select("vec_id", "vector", nothing, F.lit(0).cast("smallint").alias("file"), F.lit(0).cast("smallint").alias("post"), "cell")
+    held = held.withColumn("chunk", _number(firsts, n_cells, "cell") + _place(F.greatest(_number(spans, n_cells, "cell"), F.lit(1)))).drop("cell")
+    sent = asked.select("vec_id", "vector", nothing, "bound", "least").mapInArrow(route, f"vec_id long, vector {kind}, perm array<smallint>, bound int, least double, chunks array<int>")
+    down = -(-asked.count() // query_rows) or 1
+    return _meetings(held, sent, dim, down, lambda q, r: scan_block(q, r, k), counter)
