@@ -61,7 +61,7 @@ def test_lone_vectors_among_groups_of_copies(spark):
 
 def test_queries_that_visit_too_few_rows_are_completed(spark):
     x = np.random.default_rng(3).normal(size=(400, 16))
-    found = recalls(P.search(table_of(spark, x), F.expr(ASKS), prefix=2, posts=1, coverage=0.1, chunk_rows=64, query_rows=8).collect(), x)
+    found = recalls(P.search(table_of(spark, x), F.expr(ASKS), prefix=2, visits=0.001, coverage=0.1, chunk_rows=64, query_rows=8).collect(), x)
     assert len(found) == 20  # recalls() holds each to twenty rows in order
 
 

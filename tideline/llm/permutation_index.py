@@ -1,10 +1,9 @@
 """Nearest neighbours by a permutation index: footrule distance ranks, inner products rerank.
 
-A vector is represented by the numbers of its ``prefix`` nearest pivots, nearest first, and posted in the inverted files of
-its ``posts`` nearest ones. A query visits the files of all pivots of its own prefix. There its footrule distance to every
-posting is added up (the sum over pivots of how far apart their two positions are, a pivot outside a prefix standing at its
-end), and only postings within the query's footrule bound are reranked by inner product in double precision. A row that
-stands in two files the query visits is met in the one of its nearer pivot.
+A vector is represented by the numbers of its ``prefix`` nearest pivots, nearest first, and posted in the inverted file of
+its nearest one. A query visits the files of the ``visits`` share of pivots nearest to it. There its footrule distance to
+every posting is added up (the sum over pivots of how far apart their two positions are, a pivot outside a prefix standing
+at its end), and only postings within the query's footrule bound are reranked by inner product in double precision.
 
 The bound is the query's own: it asks for that share of all rows, by footrule, that held ``coverage`` of the k nearest of
 sampled queries as crowded as itself (crowding is the mean of the k least footrule distances to the sample; shares are
@@ -17,8 +16,8 @@ its rows' angles to all anchors and the longest vector are known. As angles obey
 scores of a query in a cell, and the query meets all rows of each cell whose bound reaches its k-th score: few cells on
 clustered vectors, all of them on vectors without structure.
 
-Files, and cells, are dealt in chunks of ``chunk_rows``, small ones together and large ones in several, and chunks meet
-queries in blocks, so no task holds more. Pivots (as many as the root of the number of rows, 256 at least, 4,096 at most)
+Files, and cells, are dealt in chunks of ``chunk_rows`` at most (and in 16 at least), small ones together and large ones in
+several, and chunks meet queries in blocks, so no task holds more. Pivots (as many as the root of the number of rows, 256 at least, 4,096 at most)
 and shares are fitted on at most ``sample_rows`` vectors, those whose ids hash lowest. Every row is posted.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those with
@@ -43,9 +42,11 @@ from tideline.llm.embedding_dedup import usable
 
 PIVOTS = (256, 4096)
 #: Queries and rows of a tile that footrule distances are added up in, so that it stays in a cache.
-TILE_QUERIES, TILE_ROWS = 32, 2048
+TILE_QUERIES, TILE_ROWS = 64, 1024
 #: Cells of the exact pass: pivots that anchor them and ranges of the angle to the nearest.
 ANCHORS, BANDS = 64, 16
+#: As many chunks at least; a query has k rows of each that it meets, so this must not grow with a small table.
+LEAST_CHUNKS = 16
 #: Ranges of crowding that have shares of their own.
 RANGES = 8
 
@@ -154,27 +155,29 @@ def best_of(q: np.ndarray, r: np.ndarray, score: np.ndarray, ids: np.ndarray, k:
     return q[own], r[own], score[own]
 
 
-def meet(queries: dict[str, np.ndarray], rows: dict[str, np.ndarray], n_pivots: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def meet(queries: dict[str, np.ndarray], rows: dict[str, np.ndarray], index: Index, visits: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query, row, score) of each query's k nearest candidates among the rows of one chunk, and how many were reranked."""
     found: list[tuple[np.ndarray, ...]] = []
     reranked = 0
-    at_q = positions(queries["perm"], n_pivots)
-    m = queries["perm"].shape[1]
-    for a in range(0, len(rows["ids"]), TILE_ROWS):
-        r = slice(a, a + TILE_ROWS)
-        at = positions(rows["perm"][r], n_pivots)
-        file, nearer = rows["file"][r], np.where(rows["post"][r] > 0, rows["perm"][r, 0], -1)
-        for b in range(0, len(queries["ids"]), TILE_QUERIES):
-            q = slice(b, b + TILE_QUERIES)
-            visits = at_q[:, q].T < m
-            may = visits[:, file] & ~((nearer >= 0)[None, :] & visits[:, nearer])
-            may &= (footrules(queries["perm"][q], at) <= queries["bound"][q, None]) & (queries["ids"][q, None] != rows["ids"][r][None, :])
-            i, j = np.nonzero(may)
-            if len(i):
+    n = len(index.pivots)
+    order = np.argsort(rows["file"], kind="stable")
+    visited = permutations(queries["x"], index.pivots, max(visits, index.prefix))
+    perms = visited[:, : index.prefix]
+    goes = positions(visited[:, :visits], n) < visits
+    edges = np.flatnonzero(np.diff(rows["file"][order], prepend=-1, append=n))
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        who = np.flatnonzero(goes[rows["file"][order[low]]])
+        for a in range(low, high, TILE_ROWS) if len(who) else ():
+            r = order[a : min(a + TILE_ROWS, high)]
+            x, ids = rows["x"][r], rows["ids"][r]
+            at = positions(permutations(x, index.pivots, index.prefix), n)
+            for b in range(0, len(who), TILE_QUERIES):
+                q = who[b : b + TILE_QUERIES]
+                i, j = np.nonzero((footrules(perms[q], at) <= queries["bound"][q, None]) & (queries["ids"][q, None] != ids[None, :]))
                 reranked += len(i)
-                score = np.einsum("ij,ij->i", queries["x"][q][i], rows["x"][r][j])  # one way of summing, so equal vectors tie
-                i, j, score = best_of(i, j, score, rows["ids"][r], k)
-                found.append((i + b, j + a, score))
+                score = np.einsum("ij,ij->i", queries["x"][q[i]], x[j])  # one way of summing, so equal vectors tie
+                i, j, score = best_of(i, j, score, ids, k)
+                found.append((q[i], r[j], score))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), 0
     return *best_of(*(np.concatenate(f) for f in zip(*found, strict=True)), rows["ids"], k), reranked
@@ -196,6 +199,7 @@ def scan_block(queries: dict[str, np.ndarray], rows: dict[str, np.ndarray], k: i
 
 def dealt(sizes: dict[int, int], chunk_rows: int) -> tuple[dict[int, int], dict[int, int], int]:
     """The first chunk of each group and how many it is dealt in, and the number of chunks: small groups share one."""
+    chunk_rows = max(1, min(chunk_rows, -(-sum(sizes.values()) // LEAST_CHUNKS)))
     firsts, spans, chunks, filled = {}, {}, 0, chunk_rows
     for g in sorted(sizes):
         spans[g] = -(-sizes[g] // chunk_rows)
@@ -223,31 +227,30 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def _meetings(held: DataFrame, asked: DataFrame, dim: int, down: int, run, counter: Accumulator | None) -> DataFrame:  # noqa: ANN001
-    """held (vec_id, vector, perm, file, post, chunk) meets asked (vec_id, vector, perm, bound, least, chunks), chunk by
-    chunk and in ``down`` blocks of queries."""
-    own = held.select("vec_id", "vector", "perm", "file", "post", F.lit(None).cast("int").alias("bound"), F.lit(None).cast("double").alias("least"), "chunk", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("d"))
-    sent = asked.select("vec_id", "vector", "perm", F.lit(-1).cast("smallint").alias("file"), F.lit(0).cast("smallint").alias("post"), "bound", "least", F.explode("chunks").alias("chunk"), _place(down).alias("d"))
+    """held (vec_id, vector, file, chunk) meets asked (vec_id, vector, bound, least, chunks), chunk by chunk and in ``down``
+    blocks of queries."""
+    own = held.select("vec_id", "vector", "file", F.lit(None).cast("int").alias("bound"), F.lit(None).cast("double").alias("least"), "chunk", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("d"))
+    sent = asked.select("vec_id", "vector", F.lit(-1).alias("file"), "bound", "least", F.explode("chunks").alias("chunk"), _place(down).alias("d"))
 
     def group(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         one = lambda c: t.column(c).combine_chunks()
-        whole = {"ids": one("vec_id").to_numpy(), "x": _unpack(one("vector"), dim), "file": one("file").to_numpy(), "post": one("post").to_numpy()}
-        whole["perm"] = one("perm").flatten().to_numpy().reshape(len(t), -1)
+        whole = {"ids": one("vec_id").to_numpy(), "x": _unpack(one("vector"), dim), "file": one("file").to_numpy()}
         asks = one("bound").is_valid().to_numpy(zero_copy_only=False)
-        rows = {c: v[~asks] for c, v in whole.items()}
-        queries = {c: whole[c][asks] for c in ("ids", "x", "perm")} | {"bound": t.column("bound").to_numpy()[asks].astype(np.int32), "least": t.column("least").to_numpy()[asks]}
-        if asks.all() or not asks.any():
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        i, j, score, products = run(queries, rows)
-        if counter is not None:
-            counter.add(products)
+        i, j, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        rows, queries = ({c: v[own] for c, v in whole.items()} for own in (~asks, asks))
+        if asks.any() and not asks.all():
+            queries |= {"bound": t.column("bound").to_numpy()[asks].astype(np.int32), "least": t.column("least").to_numpy()[asks]}
+            i, j, score, products = run(queries, rows)
+            if counter is not None:
+                counter.add(products)
         return pa.table({"query_id": pa.array(queries["ids"][i], pa.int64()), "vec_id": pa.array(rows["ids"][j], pa.int64()), "score": pa.array(score, pa.float64())})
 
     return own.union(sent).groupBy("chunk", "d").applyInArrow(group, FOUND)
 
 
 def search(
-    table: DataFrame, is_query: Column, k: int = 20, prefix: int = 128, posts: int = 2, coverage: float = 0.985, sample_rows: int = 2048, chunk_rows: int = 4096, query_rows: int = 65536,
+    table: DataFrame, is_query: Column, k: int = 20, prefix: int = 96, visits: float = 0.75, coverage: float = 0.985, sample_rows: int = 2048, chunk_rows: int = 65536, query_rows: int = 65536,
     exact: bool = False, counter: Accumulator | None = None, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows of table to each of its rows that is_query holds of. counter
@@ -263,53 +266,50 @@ def search(
     sample = [r for r in sample if len(r["vector"]) == dim]
     n_pivots = max(PIVOTS[0], min(PIVOTS[1], int(rows.count() ** 0.5)))
     index = fit(np.array([r["vector"] for r in sample], np.float64), np.array([r["vec_id"] for r in sample]), n_pivots, prefix, k, coverage)
-    pivots, n_pivots, m = index.pivots, len(index.pivots), index.prefix
+    pivots, n_pivots = index.pivots, len(index.pivots)
+    n_visits = max(1, round(visits * n_pivots))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _unpack(batch.column("vector"), dim)
-            p = permutations(v, pivots, m)
-            lists = pa.ListArray.from_arrays(np.arange(0, p.size + 1, m, dtype=np.int32), pa.array(p.reshape(-1)))
-            cell = pa.array(cells_of(angles(v, pivots[:ANCHORS])), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, cell], ["vec_id", "vector", "asks", "perm", "cell"])
+            file, cell = (v @ pivots.T).argmax(axis=1), cells_of(angles(v, pivots[:ANCHORS]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(file, pa.int32()), pa.array(cell, pa.int32())], ["vec_id", "vector", "asks", "file", "cell"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    posted = cut(rows.mapInArrow(post, f"vec_id long, vector {kind}, asks boolean, perm array<smallint>, cell int"))
-    queries = posted.where("asks").groupBy("vec_id").agg(F.min(F.struct("vector", "perm")).alias("x")).select("vec_id", "x.vector", "x.perm")
-    files = posted.select("vec_id", "vector", "perm", F.posexplode(F.slice("perm", 1, min(posts, m))).alias("post", "file"))
-    files = files.select("vec_id", "vector", "perm", F.col("post").cast("smallint").alias("post"), "file")
-    counts = {r["file"]: r["n"] for r in files.groupBy("file").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+    posted = cut(rows.mapInArrow(post, f"vec_id long, vector {kind}, asks boolean, file int, cell int"))
+    queries = posted.where("asks").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    counts = {r["file"]: r["n"] for r in posted.groupBy("file").agg(F.count("*").alias("n")).collect()}  # a row a pivot
     firsts, spans, chunks = dealt(counts, chunk_rows)
-    files = files.withColumn("chunk", _number(firsts, n_pivots, "file") + _place(F.greatest(_number(spans, n_pivots, "file"), F.lit(1))))
+    held = posted.withColumn("chunk", _number(firsts, n_pivots, "file") + _place(F.greatest(_number(spans, n_pivots, "file"), F.lit(1))))
     members = np.zeros((n_pivots, chunks), bool)
     for f in counts:
         members[f, firsts[f] : firsts[f] + spans[f]] = True
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column("perm").flatten().to_numpy().reshape(-1, m)
-            to = [np.flatnonzero(members[x].any(axis=0)) for x in p]
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, to)]).astype(np.int32), pa.array(np.concatenate([*to, np.empty(0)]), pa.int32()))
-            bound = pa.array(index.bounds(p, batch.column("vec_id").to_numpy()), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, bound, pa.nulls(len(batch), pa.float64()), lists], ["vec_id", "vector", "perm", "bound", "least", "chunks"])
-
-    routed = f"vec_id long, vector {kind}, perm array<smallint>, bound int, least double, chunks array<int>"
-    asked = cut(queries.mapInArrow(route, routed))
+            p = permutations(_unpack(batch.column("vector"), dim), pivots, max(n_visits, index.prefix))
+            bound = pa.array(index.bounds(p[:, : index.prefix], batch.column("vec_id").to_numpy()), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, bound, pa.nulls(len(batch), pa.float64()), _lists([np.flatnonzero(members[x].any(axis=0)) for x in p[:, :n_visits]])], ["vec_id", "vector", "bound", "least", "chunks"])
+
+    asked = cut(queries.mapInArrow(route, f"vec_id long, vector {kind}, bound int, least double, chunks array<int>"))
     down = -(-asked.count() // query_rows) or 1
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    met = _meetings(files, asked, dim, down, lambda q, r: meet(q, r, n_pivots, k), counter)
+    met = _meetings(held, asked, dim, down, lambda q, r: meet(q, r, index, n_visits, k), counter)
     found = cut(top(met).select("query_id", "vec_id", "score"))
     least = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
     again = asked.drop("least", "chunks").join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
     again = cut(again if exact else again.where(F.col("least") == float("-inf")))
     if not again.isEmpty():
         whole = _scan_cells(posted, again, kind, pivots[:ANCHORS], k, chunk_rows, query_rows, counter)
-        redone = again.select(F.col("vec_id").alias("query_id"))
-        found = found.join(redone, "query_id", "left_anti").union(whole)
+        found = found.join(again.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(whole)
     return top(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), pa.array(np.concatenate([*parts, np.empty(0)]), pa.int32()))
+
+
 def _scan_cells(posted: DataFrame, asked: DataFrame, kind: str, pivots: np.ndarray, k: int, chunk_rows: int, query_rows: int, counter: Accumulator | None) -> DataFrame:
     """(query_id, vec_id, score): the k nearest rows, and ties, of each query of asked, whose ``least`` some k rows reach."""
     n_pivots, dim = pivots.shape
@@ -346,12 +346,9 @@ def _scan_cells(posted: DataFrame, asked: DataFrame, kind: str, pivots: np.ndarr
         for batch in batches:
             v, least = _unpack(batch.column("vector"), dim), batch.column("least").to_numpy()
             to = [np.flatnonzero(x) for x in _reach(v, least, angles(v, pivots), long, low, high) @ members] if len(batch) else []
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, to)]).astype(np.int32), pa.array(np.concatenate([*to, np.empty(0)]), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "chunks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(to)], [*batch.schema.names, "chunks"])
 
-    nothing = F.array().cast("array<smallint>").alias("perm")
-    held = posted.select("vec_id", "vector", nothing, F.lit(0).cast("smallint").alias("file"), F.lit(0).cast("smallint").alias("post"), "cell")
-    held = held.withColumn("chunk", _number(firsts, n_cells, "cell") + _place(F.greatest(_number(spans, n_cells, "cell"), F.lit(1)))).drop("cell")
-    sent = asked.select("vec_id", "vector", nothing, "bound", "least").mapInArrow(route, f"vec_id long, vector {kind}, perm array<smallint>, bound int, least double, chunks array<int>")
+    held = posted.select("vec_id", "vector", F.col("cell").alias("file"), (_number(firsts, n_cells, "cell") + _place(F.greatest(_number(spans, n_cells, "cell"), F.lit(1)))).alias("chunk"))
+    sent = asked.select("vec_id", "vector", "bound", "least").mapInArrow(route, f"vec_id long, vector {kind}, bound int, least double, chunks array<int>")
     down = -(-asked.count() // query_rows) or 1
     return _meetings(held, sent, dim, down, lambda q, r: scan_block(q, r, k), counter)
