@@ -1,12 +1,14 @@
+import os
 import threading
-from datetime import UTC, date, datetime
+import time
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tideline import schemas
 from tideline.operators import medallion, observe, reports
-from tideline.plans.jobs import GoldReader, Lake, backfill, gold_batch, nightly, prove_idempotent, quarantine_violations, silver_batch, validate
+from tideline.plans.jobs import GoldReader, Lake, backfill, gold_batch, layer_report, layout_probe, nightly, prove_idempotent, quarantine_violations, silver_batch, validate
 from tideline.sources.log import Replay
 from tideline.store.files import AlreadyThere
 from tideline.store.table import ConcurrentCommit, Table
@@ -104,6 +106,130 @@ def test_partitions_optimize_vacuum(spark, table):
     assert ids(table.read(id=(11, 12)).where("id BETWEEN 11 AND 12")) == [11, 12]
 
 
+@pytest.fixture
+def zone(spark):
+    """Sets the time zone of driver and session, and puts both back."""
+    before = os.environ.get("TZ"), spark.conf.get("spark.sql.session.timeZone")
+
+    def put(name):
+        os.environ["TZ"] = name
+        time.tzset()
+        spark.conf.set("spark.sql.session.timeZone", name)
+
+    yield put
+    put(before[1])
+    os.environ.pop("TZ") if before[0] is None else os.environ.update(TZ=before[0])
+    time.tzset()
+
+
+def at(*micros):
+    return [f"timestamp_micros({m})" for m in micros]
+
+
+def test_merge_across_time_zones(spark, tmp_path, zone):
+    """Rows written under one zone are found under another, and in the hour that a daylight-saving night repeats."""
+    hour, night = 3_600_000_000, 1_762_063_200_000_000  # 2025-11-02 06:00 UTC: 02:00 in New York comes back to 01:00
+    for first, then, instants in (("UTC", "America/New_York", (0, 5 * hour)), ("America/New_York", "America/New_York", (night - hour // 2, night + hour // 2))):
+        table = Table(spark, str(tmp_path / f"{first}{instants[0]}".replace("/", "_")), ["t"])
+        rows = lambda n: spark.sql(" UNION ALL ".join(f"SELECT {x} AS t, {n} AS n" for x in at(*instants)))  # noqa: B023, E731
+        zone(first)
+        table.merge(rows(1), ["t"])
+        zone(then)
+        assert table.merge(rows(2), ["t"])["rows_updated"] == 2
+        assert [(r["n"], r["k"]) for r in table.read().groupBy("n").agg(F.count("*").alias("k")).collect()] == [(2, 2)]
+        ends = [datetime.fromtimestamp(m / 1e6, UTC) for m in instants]
+        assert table.read(t=(ends[0], ends[1])).count() == 2 and table.read(t=(ends[1] + timedelta(days=1), None)).isEmpty()
+    with pytest.raises(ValueError):
+        table.read(t=(datetime(2025, 1, 1), None))
+
+
+def test_merge_evaluates_its_source_once(spark, table):
+    table.append(spark.range(10).select(F.col("id").cast("int")))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    source = spark.range(5, 12).select(F.col("id").cast("int")).mapInArrow(count, "id int")
+    assert table.merge(source, ["id"])["rows_updated"] == 5 and seen.value == 7 and ids(table.read()) == list(range(12))
+
+
+def drained(spark, table, home, rows):
+    q = jobs.sink(table.stream(), Table(spark, f"{home}/out"), f"{home}/checkpoint", "copy")
+    q.awaitTermination()
+    assert ids(Table(spark, f"{home}/out").read()) == rows
+
+
+def test_streams_read_committed_appends_only(spark, table, tmp_path):
+    add = lambda *x: table.append(spark.createDataFrame([(i,) for i in x], "id int").coalesce(1))
+    add(1, 2)
+    spark.createDataFrame([(99,)], "id int").write.parquet(f"{table.path}/data/orphan")  # its writer died before the commit
+    table._write(spark.createDataFrame([(98,)], "id int"), [], [])
+    drained(spark, table, tmp_path, [1, 2])
+    table.merge(spark.createDataFrame([(2,), (3,)], "id int"), ["id"])
+    table.optimize()
+    for i in range(4, 30):  # over several compact batches
+        add(i)
+    drained(spark, table, tmp_path, [1, 2, *range(4, 30)])
+    assert ids(table.read()) == list(range(1, 30))
+    assert {n for n in table.files.names(f"{table.path}/data/_spark_metadata") if n.endswith(".compact")} == {"9.compact", "19.compact"}
+    table.files.delete(f"{table.path}/data/_spark_metadata/26")  # as if its writer had died before it told
+    add(30)
+    drained(spark, table, tmp_path, [1, 2, *range(4, 31)])
+
+
+def test_snapshots_start_from_checkpoints(spark, table, monkeypatch):
+    for i in range(45):
+        table._commit(table.snapshot(), "append", spark.range(0).schema, [{"path": f"f{i}", "bytes": 1, "rows": 1, "ranges": {}}], [f"f{i - 3}"] if i > 2 else [], app="q", batch=i)
+    whole = [table.snapshot(v) for v in (19, 20, 21, 44)]
+    assert table.files.names(f"{table.path}/_checkpoints") == [f"{v:020d}.json" for v in (20, 40)]
+    read, seen = table._commit_of, []
+    monkeypatch.setattr(table, "_commit_of", lambda v: seen.append(v) or read(v))
+    assert table.snapshot() == whole[-1] and seen == [41, 42, 43, 44] and list(table.snapshot().files) == ["f42", "f43", "f44"]
+    for n in table.files.names(f"{table.path}/_checkpoints"):
+        table.files.delete(f"{table.path}/_checkpoints/{n}")
+    assert [table.snapshot(v) for v in (19, 20, 21, 44)] == whole
+
+
+def test_a_snapshot_has_a_name_in_sql(spark, table):
+    table.append(spark.createDataFrame([(1,)], "id int"))
+    table.append(spark.createDataFrame([(2,)], "id int"))
+    table.view("now")
+    table.view("before", 0)
+    assert ids(spark.sql("SELECT * FROM now WHERE id NOT IN (SELECT id FROM before)")) == [2]
+
+
+def test_unreadable_tables_are_told_apart(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    lake.gold().append(silver_rows(spark, 1).select(F.lit("A").alias("product_id")))
+    lake.runs.append(observe.run_row(spark, "j", "silver", "done"))
+    for f in lake.gold().snapshot().files:
+        lake.gold().files.delete(f)
+    assert GoldReader(lake).table_status() == {"ohlc": False, "realtime_metrics": False, "observability_runs": True}
+    counts = {r["layer"]: r["row_count"] for r in layer_report(lake).collect()}
+    assert counts == {"bronze": None, "silver": None, "gold": None, "runs": 1}
+
+
+def test_clustered_tables_skip_files(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "t"))
+    for day in (1, 2):
+        table.append(spark.range(day * 100, day * 100 + 20).select("id", F.lit(date(2026, 7, day)).alias("d")), ["d"], ["id"])
+    assert table.detail().first()["clustering_columns"] == ["id"]
+    assert len(table.read(id=(105, 110)).inputFiles()) == 1 and table.read(d=(date(2026, 7, 2), None)).count() == 20
+
+
+def test_zorder_lets_scans_skip(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "t"), ["a", "b"])
+    table.append(spark.range(20_000).select((F.col("id") % 101).alias("a"), (F.col("id") * 7 % 103).alias("b")).repartition(16))
+    probe = lambda: len(table.read(a=(10, 12), b=(50, 52)).inputFiles())
+    before = probe()
+    out = layout_probe(table, ["a", "b"], F.col("a").between(10, 12) & F.col("b").between(50, 52), target_bytes=8 << 10)
+    assert out["before"]["rows"] == out["after"]["rows"] > 0 and out["after"]["seconds"] > 0 and out["files_added"] >= 8
+    assert before == 16 and probe() < out["files_added"] / 2
+
+
 def silver_rows(spark, n=50):
     t = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 7)
     return spark.range(n).select(

@@ -1,4 +1,4 @@
-"""Lag and throughput from streaming progress; pure functions over what a progress record holds."""
+"""Lag and throughput of a stream, from Spark's progress records."""
 
 from __future__ import annotations
 
@@ -6,39 +6,47 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
-#: Names in our records and in Spark's progress.
-FIELDS = {"batch_id": "batchId", "input_rows": "numInputRows", "input_rows_per_sec": "inputRowsPerSecond", "processed_rows_per_sec": "processedRowsPerSecond", "batch_duration_ms": "batchDuration"}
+#: Fixed names: a progress record's, and those that dashboards read.
+RENAMED = {"batchId": "batch_id", "numInputRows": "input_rows", "inputRowsPerSecond": "input_rows_per_sec", "processedRowsPerSecond": "processed_rows_per_sec", "batchDuration": "batch_duration_ms"}
 
 
-def offsets_total(offsets: Any) -> int | None:
-    """The sum over topics and partitions; None if there is no such map. Offsets may come as JSON text."""
-    if isinstance(offsets, str):
+class Offsets(dict[tuple[str, str], int]):
+    """Where a reader stands in each partition of each topic."""
+
+    @classmethod
+    def told(cls, text: Any) -> Offsets | None:
+        """From JSON text or what it stands for, {topic: {partition: offset}}; what isn't a number is left out, and
+        without such an object at all there are no offsets."""
         try:
-            offsets = json.loads(offsets)
+            tree = json.loads(text) if isinstance(text, str) else text
         except ValueError:
             return None
-    if not isinstance(offsets, Mapping):
-        return None
-    found = []
-    for topic in offsets.values():
-        for offset in topic.values() if isinstance(topic, Mapping) else ():
-            try:
-                found.append(int(offset))
-            except (TypeError, ValueError):
-                pass
-    return sum(found)
+        if not isinstance(tree, Mapping):
+            return None
+        flat = ((topic, part, str(n)) for topic, parts in tree.items() if isinstance(parts, Mapping) for part, n in parts.items())
+        return cls({(topic, part): int(n) for topic, part, n in flat if n.lstrip("-").isdigit()})
+
+    def behind(self, log: Offsets) -> int:
+        """How many messages of the log are still to be read; a reader ahead of what the log last told is not behind."""
+        return max(0, log.total - self.total)
+
+    @property
+    def total(self) -> int:
+        return sum(self.values())
+
+
+def offsets_total(offsets: Any) -> int | None:
+    found = Offsets.told(offsets)
+    return None if found is None else found.total
 
 
 def lag(progress: Mapping[str, Any]) -> int | None:
-    """How far the first source with both offsets is behind its log; None if none has them."""
-    for source in progress.get("sources") or ():
-        ends = [offsets_total(source.get(k)) for k in ("latestOffset", "endOffset")]
-        if None not in ends:
-            return max(ends[0] - ends[1], 0)
-    return None
+    """Of the first source that tells where it and its log stand; None if no source does."""
+    told = ((Offsets.told(s.get("endOffset")), Offsets.told(s.get("latestOffset"))) for s in progress.get("sources") or [])
+    return next((own.behind(log) for own, log in told if own is not None and log is not None), None)
 
 
 def fields(progress: Mapping[str, Any]) -> dict[str, Any]:
     """What is reported of a batch; absent values are left out, zeros stay."""
-    out = {ours: progress.get(theirs) for ours, theirs in FIELDS.items()} | {"kafka_lag": lag(progress)}
-    return {k: v for k, v in out.items() if v is not None}
+    record = {**progress, "kafka_lag": lag(progress)}
+    return {RENAMED.get(k, k): v for k, v in record.items() if v is not None and (k in RENAMED or k == "kafka_lag")}

@@ -20,9 +20,17 @@ def parsed(value: str = "value") -> Column:
     return F.from_json(value, schemas.TRADE)
 
 
+def once(parse: Column, name: str) -> Column:
+    """A parse as a generator of one row: filters above it use its result, where they would else each parse again."""
+    return F.explode(F.array(parse)).alias(name)
+
+
 def is_valid(t: str = "t") -> Column:
     """Whether what identifies and prices a trade is there. Never null."""
-    return F.forall(F.array(*(F.col(f"{t}.{c}").isNotNull() for c in ("trade_id", "product_id", "price", "size", "time"))), lambda x: x)
+    out = F.col(f"{t}.trade_id").isNotNull()
+    for c in ("product_id", "price", "size", "time"):
+        out = out & F.col(f"{t}.{c}").isNotNull()
+    return out
 
 
 def ingest_key(value: str = "value") -> Column:
@@ -33,15 +41,25 @@ def ingest_key(value: str = "value") -> Column:
     return F.when(F.try_variant_get(doc, "$.type", "string").isin(*KINDS) & text & (F.length(product) > 0), product)
 
 
+def json_fields(value: str = "value") -> Column:
+    """A message's fields as texts; null if it is no JSON object."""
+    return F.from_json(value, "map<string,string>", {"allowNonNumericNumbers": "false"})
+
+
 def contract_violations(value: str = "value") -> Column:
+    """contract_of() of a message's text."""
+    return contract_of(json_fields(value))
+
+
+def contract_of(fields: Column) -> Column:
     """The broken rules of the strict row contract, in the order of the rules; empty for a valid message.
 
     A null or malformed message breaks the rule ``malformed`` alone. Fields are judged on their JSON text, so
     "12,345.6" is no number although a lenient parser would take it.
     """
     names = [f.name for f in schemas.TRADE.fields]
-    keys = F.json_object_keys(value)
-    raw = {n: F.get_json_object(value, f"$.{n}") for n in names}
+    keys = F.map_keys(fields)
+    raw = {n: F.try_element_at(fields, F.lit(n)) for n in names}
     number = lambda n: F.when(raw[n].rlike(_NUMBER), F.regexp_replace(F.trim(raw[n]), "_", "").try_cast("double"))
     whole = lambda n: F.when(raw[n].rlike(_WHOLE), F.regexp_replace(F.trim(raw[n]), "_|\\.0*$", "").try_cast("bigint"))
     holds = {

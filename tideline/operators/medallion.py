@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from tideline.functions import trades as T
 from tideline.functions.intervals import aligned
 
 KEY = ("product_id", "trade_id")
+#: Where a message stands in the log.
+PLACE = ("topic", "partition", "offset")
 PARSE_FAILURE, SILVER_FAILURE, GOLD_FAILURE = "parse_or_contract_failure", "silver_dq_failure", "gold_dq_failure"
 
 
@@ -23,7 +27,7 @@ def land(log: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def parse(bronze: DataFrame) -> DataFrame:
-    return bronze.select("value", "ingest_timestamp", T.parsed().alias("t"), *(c for c in ("partition", "offset") if c in bronze.columns))
+    return bronze.select("value", "ingest_timestamp", T.once(T.parsed(), "t"), *(c for c in PLACE if c in bronze.columns))
 
 
 def conform(parsed: DataFrame, now: Column | None = None) -> DataFrame:
@@ -34,8 +38,8 @@ def conform(parsed: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def quarantine(parsed: DataFrame, now: Column | None = None) -> DataFrame:
-    """What conform leaves out; the two together are the input."""
-    return parsed.where(~T.is_valid()).select("value", "ingest_timestamp", F.lit(PARSE_FAILURE).alias("reason"), (now if now is not None else F.current_timestamp()).alias("quarantined_at"))
+    """What conform leaves out, with its place in the log if that is known; the two together are the input."""
+    return parsed.where(~T.is_valid()).select(*(c for c in PLACE if c in parsed.columns), "value", "ingest_timestamp", F.lit(PARSE_FAILURE).alias("reason"), (now if now is not None else F.current_timestamp()).alias("quarantined_at"))
 
 
 def flagged(rows: DataFrame, violation: Column, reason: str, now: Column | None = None) -> DataFrame:
@@ -45,17 +49,13 @@ def flagged(rows: DataFrame, violation: Column, reason: str, now: Column | None
 
 def speed_trades(log: DataFrame) -> DataFrame:
     """What the speed layer needs of a message: neither an id nor deduplication."""
-    t = log.select(F.from_json(F.col("value").cast("string"), "product_id string, price decimal(38,18), size decimal(38,18), time timestamp").alias("t"))
-    names = {"product_id": "product_id", "price": "price", "size": "size", "time": "event_time"}
-    rows = t.select(*(F.col(f"t.{a}").alias(b) for a, b in names.items()))
-    for c in names.values():
-        rows = rows.where(F.col(c).isNotNull())
-    return rows
+    t = log.select(T.once(F.from_json(F.col("value").cast("string"), "product_id string, price decimal(38,18), size decimal(38,18), time timestamp"), "t"))
+    return t.select("t.product_id", "t.price", "t.size", F.col("t.time").alias("event_time")).dropna()
 
 
 def latest_per_key(rows: DataFrame, keys: tuple[str, ...], order: list[Column]) -> DataFrame:
     """One row of each key, the first in order; rows with a null in the key match nothing and stay."""
-    whole = F.forall(F.array(*(F.col(k).isNotNull() for k in keys)), lambda x: x)
+    whole = reduce(and_, (F.col(k).isNotNull() for k in keys))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_place", F.when(whole, place).otherwise(1)).where("_place = 1").drop("_place")
 

@@ -6,51 +6,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.trades import aggressor
+from tideline.operators.ordering import numbered, steps
 
 
-def _vwap() -> list[Column]:
-    """Hidden sums in doubles: a product of two money columns would lose its scale."""
-    size = F.col("size").cast("double")
-    return [F.sum(F.col("price").cast("double") * size).alias("_quote"), F.sum(size).alias("_base")]
+def turnover() -> Column:
+    """Price times size in doubles: a product of two money columns would lose its scale."""
+    return F.col("price").cast("double") * F.col("size").cast("double")
+
+
+def average_price(traded: str = "traded") -> Column:
+    """The volume-weighted price of summed turnover; null where no size was traded."""
+    return F.try_divide(traded, F.col("volume").cast("double"))
+
+
+def instant() -> Column:
+    """(event_time, sequence) as one decimal: a number orders in place, where a struct would make aggregates sort. A null
+    sequence comes first."""
+    time = F.unix_micros("event_time").cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)")
+    return (time + F.coalesce(F.col("sequence"), F.lit(-(1 << 62))).cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def candles(silver: DataFrame, interval: str = "1 minute") -> DataFrame:
     """One row a product and window: open and close by (event_time, sequence), exact volume, vwap (null where no size
-    was traded), trade_count, and the UTC date of the window's start."""
-    order = F.struct("event_time", "sequence")
-    rows = silver.groupBy(F.window("event_time", interval).alias("w"), "product_id").agg(
-        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
-        F.sum("size").alias("volume"), F.count(F.lit(1)).alias("trade_count"), *_vwap(),
-    )
-    return rows.select(
-        "product_id", F.col("w.start").alias("interval_start"), F.col("w.end").alias("interval_end"), "open", "high", "low", "close", "volume",
-        F.try_divide("_quote", "_base").alias("vwap"), "trade_count", F.to_date("w.start").alias("date"),
-    )
+    was traded), trade_count, and the UTC date of the window's start. One hash aggregate; nothing is sorted."""
+    trades = silver.select("product_id", "price", "size", F.window("event_time", interval).alias("span"), instant().alias("instant"), turnover().alias("turnover"))
+    summed = {
+        "open": F.min_by("price", "instant"), "close": F.max_by("price", "instant"), "low": F.min("price"), "high": F.max("price"),
+        "trade_count": F.count(F.lit(1)), "volume": F.sum("size"), "traded": F.sum("turnover"),
+    }
+    bars = trades.groupBy("product_id", "span").agg(*(c.alias(n) for n, c in summed.items())).withColumns({"interval_start": F.col("span.start"), "interval_end": F.col("span.end"), "vwap": average_price()})
+    return bars.select("product_id", "interval_start", "interval_end", "open", "high", "low", "close", "volume", "vwap", "trade_count", F.to_date("interval_start").alias("date"))
 
 
 def sliding(trades: DataFrame, size: str = "1 minute", slide: str = "15 seconds", delay: str | None = None) -> DataFrame:
     """Rolling metrics; with a delay, over a watermarked stream. Volatility is the sample deviation, null for one trade."""
-    rows = trades.withWatermark("event_time", delay) if delay else trades
-    rows = rows.groupBy(F.window("event_time", size, slide).alias("w"), "product_id").agg(
-        F.count(F.lit(1)).alias("trade_count"), F.sum("size").alias("volume"), F.stddev(F.col("price").cast("double")).alias("price_volatility"), *_vwap()
-    )
-    return rows.select("product_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "trade_count", "volume", F.try_divide("_quote", "_base").alias("vwap"), "price_volatility")
+    timed = trades if delay is None else trades.withWatermark("event_time", delay)
+    summed = {"trade_count": F.count(F.lit(1)), "volume": F.sum("size"), "traded": F.sum(turnover()), "price_volatility": F.stddev(F.col("price").cast("double"))}
+    spans = timed.groupBy("product_id", F.window("event_time", size, slide).alias("span")).agg(*(c.alias(n) for n, c in summed.items()))
+    return spans.select("product_id", F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), "trade_count", "volume", average_price().alias("vwap"), "price_volatility")
 
 
 def order_flow(silver: DataFrame, interval: str = "1 hour") -> DataFrame:
-    """Taker flow a product and window: bought and sold sizes, their imbalance, the bought share."""
-    size, taker = F.col("size").cast("double"), aggressor()
-    rows = silver.groupBy(F.window("event_time", interval).alias("w"), "product_id").agg(
-        F.coalesce(F.sum(F.when(taker == "buy", size)), F.lit(0.0)).alias("taker_bought"), F.coalesce(F.sum(F.when(taker == "sell", size)), F.lit(0.0)).alias("taker_sold")
+    """Taker flow a product and window: bought and sold sizes, their imbalance, the bought share, and the signed vwap
+    (turnover of taker buys less that of taker sells, over all size)."""
+    size, bought, sold = F.col("size").cast("double"), aggressor() == "buy", aggressor() == "sell"
+    total = lambda side, of: F.coalesce(F.sum(F.when(side, of)), F.lit(0.0))
+    rows = silver.groupBy(F.window("event_time", interval).alias("span"), "product_id").agg(
+        total(bought, size).alias("taker_bought"), total(sold, size).alias("taker_sold"), (total(bought, turnover()) - total(sold, turnover())).alias("signed")
     )
-    total = F.col("taker_bought") + F.col("taker_sold")
-    return rows.select("product_id", F.col("w.start").alias("interval_start"), "taker_bought", "taker_sold", F.try_divide(F.col("taker_bought") - F.col("taker_sold"), total).alias("imbalance"), F.try_divide("taker_bought", total).alias("buy_ratio"))
+    both = F.col("taker_bought") + F.col("taker_sold")
+    return rows.select(
+        "product_id", F.col("span.start").alias("interval_start"), "taker_bought", "taker_sold", F.try_divide(F.col("taker_bought") - F.col("taker_sold"), both).alias("imbalance"),
+        F.try_divide("taker_bought", both).alias("buy_ratio"), F.try_divide("signed", both).alias("signed_vwap"),
+    )
 
 
 def sequence_gaps(silver: DataFrame) -> DataFrame:
     """Where a product's sequence numbers skip."""
-    before = F.lag("sequence").over(Window.partitionBy("product_id").orderBy("sequence"))
-    return silver.withColumn("previous", before).where(F.col("sequence") - F.col("previous") > 1).select("product_id", "previous", "sequence", (F.col("sequence") - F.col("previous") - 1).alias("missing"))
+    skips = steps(silver, "product_id", "sequence").where(F.col("sequence") - F.col("previous") > 1)
+    return skips.withColumn("missing", F.col("sequence") - F.col("previous") - 1)
 
 
 def sweeps(silver: DataFrame, least: int = 2) -> DataFrame:
@@ -83,6 +97,6 @@ def feed_peak(feed: DataFrame, micros: int = 1_000_000) -> DataFrame:
 
 def throughput(feed: DataFrame, every: int = 100) -> DataFrame:
     """The rate of each full run of ``every`` messages of a log partition."""
-    place = F.row_number().over(Window.partitionBy("partition").orderBy("offset")) - 1
-    rows = feed.withColumn("run", F.floor(place / every)).groupBy("partition", "run").agg(F.count(F.lit(1)).alias("messages"), F.min("kafka_timestamp").alias("low"), F.max("kafka_timestamp").alias("high"))
-    return rows.where(F.col("messages") == every).select("partition", "run", F.try_divide(F.col("messages") * 1e6, F.unix_micros("high") - F.unix_micros("low")).alias("rate"))
+    placed = numbered(feed, "partition", F.col("offset"), ["offset"], 1 << 20, "place")
+    runs = placed.withColumn("run", F.floor(F.col("place") / every)).groupBy("partition", "run").agg(F.count(F.lit(1)).alias("messages"), F.min("kafka_timestamp").alias("low"), F.max("kafka_timestamp").alias("high"))
+    return runs.where(F.col("messages") == every).select("partition", "run", F.try_divide(F.col("messages") * 1e6, F.unix_micros("high") - F.unix_micros("low")).alias("rate"))

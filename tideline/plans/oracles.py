@@ -31,6 +31,8 @@ _MESSAGE = """'{"type":"match","trade_id":' || trade_id || ',"maker_order_id":"'
     || '","sequence":' || sequence || ',"time":"' || strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f') || 'Z"' || CASE WHEN extra THEN ',"extra":1' ELSE '' END || '}'"""
 _VALUE = f"CASE WHEN json THEN {_MESSAGE} ELSE '{{not valid json' END"
 
+_BAD_MESSAGE = f"""'trades.raw' AS topic, CAST(part AS INTEGER) AS partition, off AS "offset", {_VALUE} AS value, ingest_timestamp, 'parse_or_contract_failure' AS reason"""
+
 _DIRTY = f"""{_TRADES}, dirty AS (
     SELECT CASE WHEN trade_id % 103 <> 0 THEN product_id END AS product_id, CASE WHEN trade_id % 109 = 0 THEN 0 ELSE trade_id END AS trade_id,
         CASE WHEN trade_id % 61 = 0 THEN 'long' WHEN trade_id % 67 <> 0 THEN side END AS side,
@@ -66,7 +68,7 @@ _RUNS = f"""{_TRADES}, runs AS (
     SELECT 'job' || (trade_id % 3) AS job, CASE WHEN trade_id % 20 = 0 THEN 'silver' ELSE 'gold' END AS layer, 'done' AS event, CASE WHEN trade_id % 70 <> 0 THEN trade_id END AS rows,
         CASE WHEN trade_id % 30 <> 0 THEN CAST(8 AS INTEGER) END AS dq_passed, CASE WHEN trade_id % 30 <> 0 THEN CAST((trade_id % 40) // 20 AS INTEGER) END AS dq_failed,
         CAST(trade_id % 50 AS DOUBLE) AS duration_seconds, CASE WHEN trade_id % 60 <> 0 THEN CAST(trade_id * 7 % 20000 AS DOUBLE) END AS freshness_seconds, event_time AS ts
-    FROM trades WHERE trade_id % 10 = 0)"""
+    FROM trades)"""
 _AGE = "CASE WHEN freshness_seconds IS NULL THEN '-' WHEN freshness_seconds >= 3600 THEN printf('%.1fh', freshness_seconds / 3600 + 1e-9) ELSE printf('%.1fm', freshness_seconds / 60 + 1e-9) END"
 _LATEST = "SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY job, layer ORDER BY ts DESC, event DESC) = 1"
 
@@ -102,8 +104,8 @@ def _check_gold(rows: str, prior: int | None) -> str:
 _CANDLE = "product_id, interval_start, interval_end, open, high, low, close, volume, vwap, trade_count"
 _SILVER_COLUMNS = "product_id, trade_id, side, price, size, sequence, maker_order_id, taker_order_id, event_time"
 _BULK = f"""bulk AS (SELECT l_returnflag || l_linestatus AS product_id, l_orderkey * 10 + l_linenumber AS trade_id, CAST(CAST(l_extendedprice AS VARCHAR) AS {_D}) AS price,
-    CAST(CAST(l_quantity AS VARCHAR) AS {_D}) AS size, l_partkey AS sequence, CAST(l_shipdate AS TIMESTAMP) AS event_time FROM lineitem)"""
-_VERSIONED = f"WITH {_TRADES} SELECT trade_id, product_id, price FROM trades WHERE trade_id % 3"
+    CAST(CAST(l_quantity AS VARCHAR) AS {_D}) AS size, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS sequence, CAST(l_shipdate AS TIMESTAMP) AS event_time FROM lineitem)"""
+_VERSIONED = f"WITH {_TRADES} SELECT trade_id, product_id, price FROM trades"
 _DOUBLED = "CASE WHEN trade_id % 2 = 0 OR trade_id % 5 = 0 THEN CAST(price * 2 AS DECIMAL(38,18)) ELSE price END"
 _ONCE = f"SELECT DISTINCT {_SILVER_COLUMNS}, ingest_timestamp FROM good"
 _SPEED = f"WITH {_SENT}, w AS ({_sliding('good')}) SELECT * FROM w"
@@ -119,7 +121,7 @@ ORACLES: dict[str, str] = {
     "silver_parse": f"""WITH {_SENT} SELECT CAST(part AS INTEGER) AS partition, off AS "offset", CASE WHEN json THEN trade_id END AS trade_id, CASE WHEN json THEN product_id END AS product_id, CASE WHEN json THEN side END AS side,
         CASE WHEN json THEN price END AS price, CASE WHEN json THEN size END AS size, CASE WHEN json THEN event_time END AS time FROM sent""",
     "silver_conform": f"WITH {_SENT} SELECT {_SILVER_COLUMNS}, ingest_timestamp, {_AS_OF} AS silver_timestamp FROM good",
-    "quarantine_parse": f"WITH {_SENT} SELECT ingest_timestamp, 'parse_or_contract_failure' AS reason, {_AS_OF} AS quarantined_at, count(*) AS n FROM sent WHERE NOT json OR price IS NULL GROUP BY ingest_timestamp",
+    "quarantine_parse": f"WITH {_SENT} SELECT {_BAD_MESSAGE}, {_AS_OF} AS quarantined_at FROM sent WHERE NOT json OR price IS NULL",
     "speed_trades": f"WITH {_SENT} SELECT product_id, price, size, event_time FROM good",
     "ingest_filter": f"WITH {_SENT} SELECT product_id AS product, count(*) AS n FROM sent WHERE json GROUP BY product_id",
     "gold_scoped": f"WITH {_TRADES}, s AS (SELECT * FROM trades WHERE product_id = 'click' AND CAST(event_time AS DATE) >= DATE '2024-01-22') {_candles('s', 3600)}",
@@ -136,7 +138,7 @@ ORACLES: dict[str, str] = {
     "contract_per_product": f"WITH {_CONTRACT} SELECT product_id, count(*) AS messages FROM judged WHERE violations = '' GROUP BY product_id",
     "contract_samples": f"""WITH {_CONTRACT} SELECT CAST(part AS INTEGER) AS partition, off AS "offset", violations FROM judged WHERE violations <> '' ORDER BY part, off LIMIT 5""",
     **{f"gold_ohlc_{k}": f"WITH {_TRADES} {_candles('trades', s)}" for k, s in {"1m": 60, "5m": 300, "1h": 3600, "1d": 86400}.items()},
-    "gold_ohlc_bulk": f"WITH {_BULK}, c AS ({_candles('bulk', 86400)}) SELECT product_id, interval_start, interval_end, high, low, volume, vwap, trade_count, date FROM c",
+    "gold_ohlc_bulk": f"WITH {_BULK}, c AS ({_candles('bulk', 86400)}) SELECT * FROM c",
     "speed_sliding": f"WITH {_TRADES} {_sliding('trades')}",
     "layer_counts": f"""WITH {_DIRTY}, {_DIRTY_GOLD.removeprefix(_TRADES + ', ')} SELECT 'silver' AS layer, count(*) AS row_count, count(DISTINCT CASE WHEN product_id IS NOT NULL AND trade_id IS NOT NULL THEN product_id || '/' || trade_id END) AS distinct_keys FROM dirty
         UNION ALL SELECT 'gold', count(*), count(DISTINCT CASE WHEN product_id IS NOT NULL THEN product_id || '/' || interval_start END) FROM dirty_gold""",
@@ -152,7 +154,7 @@ ORACLES: dict[str, str] = {
     "producer_throughput": f"""WITH {_SENT}, p AS (SELECT part, kafka_timestamp AS t, (row_number() OVER (PARTITION BY part ORDER BY off) - 1) // 100 AS run FROM sent) SELECT CAST(part AS INTEGER) AS partition, run,
         round(100 * 1e6 / nullif(epoch_us(max(t)) - epoch_us(min(t)), 0) + 1e-9, 6) AS rate FROM p GROUP BY part, run HAVING count(*) = 100""",
     "order_flow": f"""WITH {_TRADES}, f AS (SELECT product_id, {_floor('event_time', 3600)} AS interval_start, coalesce(sum(CAST(size AS DOUBLE)) FILTER (side = 'sell'), 0) AS taker_bought, coalesce(sum(CAST(size AS DOUBLE)) FILTER (side = 'buy'), 0) AS taker_sold
-        FROM trades GROUP BY ALL) SELECT *, round((taker_bought - taker_sold) / nullif(taker_bought + taker_sold, 0) + 1e-9, 6) AS imbalance, round(taker_bought / nullif(taker_bought + taker_sold, 0) + 1e-9, 6) AS buy_ratio FROM f""",
+        , sum(CAST(price AS DOUBLE) * CAST(size AS DOUBLE) * CASE WHEN side = 'sell' THEN 1 ELSE -1 END) AS signed FROM trades GROUP BY ALL) SELECT * EXCLUDE (signed), round(signed / nullif(taker_bought + taker_sold, 0) + 1e-9, 6) AS signed_vwap, round((taker_bought - taker_sold) / nullif(taker_bought + taker_sold, 0) + 1e-9, 6) AS imbalance, round(taker_bought / nullif(taker_bought + taker_sold, 0) + 1e-9, 6) AS buy_ratio FROM f""",
     "sequence_gaps": f"WITH {_TRADES}, g AS (SELECT product_id, lag(sequence) OVER (PARTITION BY product_id ORDER BY sequence) AS previous, sequence FROM trades) SELECT *, sequence - previous - 1 AS missing FROM g WHERE sequence - previous > 1",
     "sweeps": f"WITH {_TRADES} SELECT product_id, taker_order_id, count(*) AS fills, CAST(sum(size) AS {_D}) AS size, min(price) AS low, max(price) AS high, min(event_time) AS first_fill FROM trades GROUP BY ALL HAVING count(*) >= 2",
     "dq_silver": f"WITH {_DIRTY} SELECT * FROM {_check_silver('dirty', 12000)}",
@@ -177,39 +179,48 @@ ORACLES: dict[str, str] = {
     "api_realtime": f"WITH {_TRADES}, w AS ({_sliding('trades')}) SELECT * FROM w ORDER BY window_start DESC, product_id LIMIT 100",
     "api_runs": f"WITH {_RUNS} SELECT * FROM runs ORDER BY ts DESC, job, layer LIMIT 50",
     "api_health": "SELECT * FROM (VALUES ('ohlc', true), ('realtime_metrics', false), ('observability_runs', false)) t(table_name, reachable)",
-    "time_travel_v0": f"{_VERSIONED} = 0",
-    "table_latest": f"{_VERSIONED} < 2",
+    "time_travel_v0": f"{_VERSIONED} WHERE trade_id % 3 = 0",
+    "table_latest": _VERSIONED,
     "table_history": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'overwrite'), (CAST(1 AS BIGINT), 'append')) t(version, operation)",
-    "table_log": "SELECT CAST(0 AS BIGINT) AS version, 'overwrite' AS operation, count(*) AS row_count FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 1, 'append', count(*) FROM events WHERE event_id % 3 = 1",
-    "table_detail": "SELECT count(*) AS row_count, CAST(1 AS BIGINT) AS version, '' AS partition_columns FROM events WHERE event_id % 3 < 2",
+    "table_log": "SELECT CAST(0 AS BIGINT) AS version, 'overwrite' AS operation, count(*) AS row_count FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 1, 'append', count(*) FROM events WHERE event_id % 3 <> 0",
+    "table_detail": "SELECT count(*) AS row_count, CAST(1 AS BIGINT) AS version, '' AS partition_columns FROM events",
     "merge_upsert": f"WITH {_TRADES} SELECT * REPLACE ({_DOUBLED} AS price) FROM trades",
     "merge_self_update": f"WITH {_TRADES} SELECT product_id, trade_id, {_DOUBLED} AS price FROM trades",
     "merge_idempotent": "SELECT CAST(0 AS BIGINT) AS differences",
     "optimize_compaction": f"WITH {_TRADES} {_candles('trades', 3600)}",
-    "optimize_zorder": f"{_VERSIONED} < 2",
+    "optimize_zorder": _VERSIONED,
+    "optimize_probe": f"WITH {_TRADES} SELECT count(*) AS rows_before, count(*) AS rows_after, true AS rewritten FROM trades WHERE product_id = 'click'",
+    "clustered_append": f"WITH {_TRADES}, c AS ({_candles('trades', 3600)}) SELECT *, 'product_id,interval_start' AS clustering_columns FROM c",
+    "snapshot_in_sql": f"WITH {_TRADES} SELECT product_id, count(*) AS n, sum(price) AS price FROM trades WHERE trade_id % 3 <> 0 GROUP BY product_id",
     "vacuum_dry_run": "SELECT CAST(0 AS BIGINT) AS within_retention, true AS beyond",
     "partition_values": "SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS date FROM events",
     "schema_evolution": f"WITH {_TRADES} SELECT trade_id, product_id, price, CASE WHEN trade_id % 3 = 2 THEN side END AS side FROM trades",
     "silver_batch_job": f"WITH {_SENT} {_ONCE}",
     "gold_batch_job": f"WITH {_TRADES} {_candles('trades', 3600)}",
+    "gold_full_job": f"""WITH {_TRADES}, c AS ({_candles('trades', 3600)}), n AS (SELECT count(*) AS n, count(*) FILTER (product_id = 'click') AS k FROM c)
+        SELECT product_id, interval_start, open, close, volume, CAST(2 AS BIGINT) AS runs, n AS candles, k || ',' || n AS counted FROM c, n ORDER BY interval_start DESC, product_id LIMIT 10""",
+    "layer_report": f"""WITH {_TRADES}, c AS ({_candles('trades', 3600)}) SELECT 'silver' AS layer, count(*) AS row_count, count(*) AS distinct_keys FROM trades UNION ALL SELECT 'gold', count(*), count(*) FROM c
+        UNION ALL SELECT 'bronze', NULL, NULL UNION ALL SELECT 'runs', NULL, NULL""",
     "backfill_silver": f"WITH {_SENT} {_ONCE} WHERE event_time >= {_START} AND event_time < {_END}",
     "backfill_gold": f"WITH {_TRADES}, c AS ({_candles('trades', 25200)}) SELECT * FROM c WHERE interval_start >= {_START} AND interval_start < {_END}",
     "bronze_stream_append": f"""WITH {_SENT} SELECT key, {_VALUE} AS value, 'trades.raw' AS topic, CAST(part AS INTEGER) AS partition, off AS "offset", kafka_timestamp FROM sent""",
     "silver_stream": f"WITH {_SENT} SELECT DISTINCT product_id, trade_id, price, size, event_time FROM good",
-    "quarantine_stream": f"WITH {_SENT} SELECT ingest_timestamp, 'parse_or_contract_failure' AS reason, count(*) AS n FROM sent WHERE NOT json OR price IS NULL GROUP BY ingest_timestamp",
+    "quarantine_stream": f"WITH {_SENT} SELECT {_BAD_MESSAGE} FROM sent WHERE NOT json OR price IS NULL",
+    "log_tail": f"""WITH {_TRADES}, p AS (SELECT *, CAST(('0x' || substr(md5(product_id), 1, 7)) AS BIGINT) % 6 AS part FROM trades), l AS (SELECT product_id AS key, CAST(trade_id AS VARCHAR) AS value,
+        CAST(part AS INTEGER) AS partition, row_number() OVER (PARTITION BY part ORDER BY event_time, trade_id) - 1 AS "offset", event_time AS kafka_timestamp FROM p) SELECT * FROM l WHERE day(kafka_timestamp) > 15""",
     "speed_stream_append": f"{_SPEED} WHERE {_CLOSED}",
     "speed_stream_upserts": _SPEED,
     "reconcile_speed_batch": f"WITH {_SENT}, w AS ({_sliding('good')}) SELECT product_id, window_start, trade_count AS batch_count, volume AS batch_volume, CAST(NULL AS BIGINT) AS speed_count, CAST(NULL AS {_D}) AS speed_volume FROM w WHERE NOT ({_CLOSED})",
 }
 
-#: Money leaves as doubles of six places, as plain() has it.
+#: Money leaves as its exact digits, as plain() has it.
 _MONEY = {
     "price size": "scan_trades silver_parse silver_conform speed_trades backfill_range merge_upsert silver_batch_job backfill_silver silver_stream",
     "size": "scan_bulk_trades",
-    "open high low close volume": "gold_scoped gold_ohlc_1m gold_ohlc_5m gold_ohlc_1h gold_ohlc_1d recent_candles api_candles api_candles_range optimize_compaction gold_batch_job backfill_gold",
-    "price": "dq_silver_violations quarantine_silver_dq time_travel_v0 table_latest merge_self_update optimize_zorder schema_evolution",
+    "open high low close volume": "gold_scoped gold_ohlc_1m gold_ohlc_5m gold_ohlc_1h gold_ohlc_1d gold_ohlc_bulk clustered_append recent_candles api_candles api_candles_range optimize_compaction gold_batch_job backfill_gold",
+    "price": "snapshot_in_sql dq_silver_violations quarantine_silver_dq time_travel_v0 table_latest merge_self_update optimize_zorder schema_evolution",
     "high close volume": "dq_gold_violations",
-    "high low volume": "gold_ohlc_bulk",
+    "open close volume": "gold_full_job",
     "volume": "speed_sliding api_realtime speed_stream_append speed_stream_upserts",
     "size low high": "sweeps",
     "high": "quarantine_gold_dq",
@@ -217,4 +228,4 @@ _MONEY = {
 }
 for _columns, _names in _MONEY.items():
     for _name in _names.split():
-        ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in _columns.split())}) FROM ({ORACLES[_name]})"
+        ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'CAST(CAST({c} AS DECIMAL(38,18)) AS VARCHAR) AS {c}' for c in _columns.split())}) FROM ({ORACLES[_name]})"

@@ -16,7 +16,8 @@ from tideline import schemas, session
 from tideline.functions import formats
 from tideline.functions import trades as fn
 from tideline.operators import medallion, observe, quality, reports, windows
-from tideline.plans.jobs import GoldReader, Lake, backfill, gold_batch, silver_batch
+from tideline.plans import jobs as jobs_
+from tideline.plans.jobs import GoldReader, Lake, backfill, gold_batch, gold_job, layout_probe, silver_batch
 from tideline.sources import log as logs
 from tideline.sources import tables
 from tideline.store.table import Table
@@ -34,7 +35,7 @@ def at() -> F.Column:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Zoned times as UTC wall time, dates as text; doubles, and money as doubles, to six places."""
+    """Zoned times as UTC wall time, dates as text, money as its exact digits; doubles to six places."""
     def one(f: T.StructField) -> F.Column:
         c = F.col(f.name)
         if isinstance(f.dataType, T.TimestampType):
@@ -42,8 +43,8 @@ def plain(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.DateType):
             return c.cast("string").alias(f.name)
         if isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
-        return F.round(c + 1e-9, 6).alias(f.name) if isinstance(f.dataType, T.DecimalType | T.DoubleType) else c
+            return F.translate(F.format_number(c, f.dataType.scale), ",", "").alias(f.name)
+        return F.round(c + 1e-9, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else c
 
     return df.select(*map(one, df.schema.fields))
 
@@ -67,8 +68,8 @@ def _gold(spark: SparkSession, sf_dir: str, interval: str = "1 hour") -> DataFra
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run record for each tenth trade."""
-    t = tables.trades(spark, sf_dir).where("trade_id % 10 = 0")
+    """A run record for each trade."""
+    t = tables.trades(spark, sf_dir)
     n = F.col("trade_id")
     return t.select(
         F.concat(F.lit("job"), (n % 3).cast("string")).alias("job"), F.when(n % 20 == 0, "silver").otherwise("gold").alias("layer"), F.lit("done").alias("event"), F.when(n % 70 != 0, n).alias("rows"),
@@ -128,7 +129,7 @@ def silver_conform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quarantine_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return medallion.quarantine(medallion.parse(tables.bronze(spark, sf_dir)), at()).groupBy("ingest_timestamp", "reason", "quarantined_at").agg(F.count("*").alias("n"))
+    return medallion.quarantine(medallion.parse(tables.bronze(spark, sf_dir)), at())
 
 
 @query
@@ -214,7 +215,7 @@ QUERIES |= {f"gold_ohlc_{k}": _candles(v) for k, v in {"1m": "1 minute", "5m": "
 
 @query
 def gold_ohlc_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.candles(tables.bulk_trades(spark, sf_dir), "1 day").drop("open", "close")
+    return windows.candles(tables.bulk_trades(spark, sf_dir), "1 day")
 
 
 @query
@@ -391,7 +392,7 @@ def api_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def api_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = _lake(spark, "health")
-    lake.gold().append(_gold(spark, sf_dir).limit(1))
+    lake.gold().append(_gold(spark, sf_dir), ["date"])
     return spark.createDataFrame(list(GoldReader(lake).table_status().items()), "table_name string, reachable boolean")
 
 
@@ -402,7 +403,7 @@ def _versioned(spark: SparkSession, sf_dir: str) -> Table:
     table = Table(spark, session.scratch(spark, "versions"), ["trade_id"])
     rows = tables.trades(spark, sf_dir).select("trade_id", "product_id", "price")
     table.overwrite(rows.where("trade_id % 3 = 0"))
-    table.append(rows.where("trade_id % 3 = 1"))
+    table.append(rows.where("trade_id % 3 <> 0"))
     return table
 
 
@@ -478,6 +479,30 @@ def optimize_zorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+@query
+def optimize_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a filter holds before and after the layout changes."""
+    table = _versioned(spark, sf_dir)
+    out = layout_probe(table, ["product_id", "trade_id"], F.col("product_id") == ACTIVE, 64 << 10)
+    return spark.createDataFrame([(out["before"]["rows"], out["after"]["rows"], out["files_added"] > 0)], "rows_before bigint, rows_after bigint, rewritten boolean")
+
+
+@query
+def clustered_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = Table(spark, session.scratch(spark, "clustered"))
+    table.append(_gold(spark, sf_dir), ["date"], ["product_id", "interval_start"])
+    return table.read().crossJoin(table.detail().select(F.array_join("clustering_columns", ",").alias("clustering_columns")))
+
+
+@query
+def snapshot_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last version has and the first has not, by SQL names of snapshots."""
+    table = _versioned(spark, sf_dir)
+    table.view("trades_now")
+    table.view("trades_first", 0)
+    return spark.sql("SELECT product_id, count(*) AS n, sum(price) AS price FROM trades_now LEFT ANTI JOIN trades_first USING (trade_id) GROUP BY product_id")
+
+
 @query
 def vacuum_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _versioned(spark, sf_dir)
@@ -494,8 +519,10 @@ def partition_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _versioned(spark, sf_dir)
-    table.append(tables.trades(spark, sf_dir).where("trade_id % 3 = 2").select("trade_id", "product_id", "price", "side"), merge_schema=True)
+    table = Table(spark, session.scratch(spark, "schema"), ["trade_id"])
+    rows = tables.trades(spark, sf_dir).select("trade_id", "product_id", "price", "side")
+    table.append(rows.where("trade_id % 3 < 2").drop("side"))
+    table.append(rows.where("trade_id % 3 = 2"), merge_schema=True)
     return table.read()
 
 
@@ -525,6 +552,30 @@ def gold_batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.gold("1 hour").read()
 
 
+@query
+def gold_full_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest candles, and the counts that two runs of the job recorded."""
+    lake = _lake(spark, "lake")
+    lake.silver.append(_silver(spark, sf_dir))
+    gold_job(lake, "1 hour", ACTIVE)
+    newest = gold_job(lake, "1 hour")
+    runs = lake.runs.read().agg(F.count("*").alias("runs"), F.max("rows").alias("candles"))
+    counts = lake.counts.read().agg(F.array_join(F.array_sort(F.collect_list("row_count")).cast("array<string>"), ",").alias("counted"))
+    return newest.select("product_id", "interval_start", "open", "close", "volume").crossJoin(runs.crossJoin(counts))  # three small results side by side
+
+
+@query
+def layer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver and its candles; bronze is not there and run records cannot be read."""
+    lake = _lake(spark, "lake")
+    lake.silver.append(_silver(spark, sf_dir))
+    gold_batch(lake, "1 hour")
+    observe.record_run(lake.runs, "job", "silver", "done")
+    for path in lake.runs.snapshot().files:
+        lake.runs.files.delete(path)
+    return jobs_.layer_report(lake, "1 hour")
+
+
 @query
 def backfill_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = _landed(spark, sf_dir)
@@ -582,7 +633,21 @@ def silver_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quarantine_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _silver_stream(spark, sf_dir).quarantine.read().groupBy("ingest_timestamp", "reason").agg(F.count("*").alias("n"))
+    return _silver_stream(spark, sf_dir).quarantine.read().drop("quarantined_at")
+
+
+@query
+def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a log gets after its reader has started: the messages of the month's second half."""
+    home = session.scratch(spark, "tail")
+    rows = logs.envelopes(tables.trades(spark, sf_dir).withColumn("value", F.col("trade_id").cast("string")), "product_id", "value", "event_time", "trade_id", tables.TOPIC)
+    late = F.day("timestamp") > 15
+    logs.produce(rows.where(~late), f"{home}/log")
+    since = logs.now(spark, f"{home}/log")
+    logs.produce(rows.where(late), f"{home}/log")
+    table = Table(spark, f"{home}/table")
+    jobs.bronze(logs.tail(spark, f"{home}/log", since), table, f"{home}/checkpoint", None).awaitTermination()
+    return table.read(schema=schemas.BRONZE).select("key", "value", "partition", "offset", "kafka_timestamp")
 
 
 def _speed(spark: SparkSession, sf_dir: str, start: Callable) -> DataFrame:

@@ -53,6 +53,6 @@ def bulk_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many trades with natural duplicates of (order, line), for throughput."""
     return table(spark, sf_dir, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus").alias("product_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"), F.lit("buy").alias("side"),
-        F.col("l_extendedprice").cast("decimal(38,18)").alias("price"), F.col("l_quantity").cast("decimal(38,18)").alias("size"), F.col("l_partkey").alias("sequence"),
+        F.col("l_extendedprice").cast("decimal(38,18)").alias("price"), F.col("l_quantity").cast("decimal(38,18)").alias("size"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("sequence"),
         F.lit("m").alias("maker_order_id"), F.lit("t").alias("taker_order_id"), F.col("l_shipdate").cast("timestamp").alias("event_time"),
     )
