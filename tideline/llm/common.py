@@ -111,20 +111,30 @@ def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[:n])
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, hot: int) -> DataFrame:
+    """edges (a, b) with the ``m`` of least (a, m, n) for each a. Of a node of over ``hot`` edges the least is broadcast
+    (there are at most 2 |edges| / hot such nodes), so its edges stay where they are; the others meet by a."""
+    many = F.broadcast(least.where(F.col("n") > hot).select(F.col("a").alias("_hot"), F.col("m").alias("_m")))
+    tagged = edges.join(many, F.col("a") == F.col("_hot"), "left")
+    few = tagged.where("_hot IS NULL").select("a", "b").join(least.where(F.col("n") <= hot).select("a", "m"), "a")
+    return tagged.where("_hot IS NOT NULL").select("a", "b", F.col("_m").alias("m")).union(few.select("a", "b", "m"))
+
+
+def components(edges: DataFrame, most: int = 40, hot: int | None = None) -> DataFrame:
     """(node, root) for every node of edges (a, b), root the smallest node reachable. Alternates large-star and
-    small-star; each round's minima combine before the shuffle and its joins hold one row per node on one side, so
-    a node with very many neighbours can be split by the adaptive skew join."""
+    small-star; each round's minima combine before the shuffle. Nodes of over ``hot`` edges (100,000 and a ten-thousandth
+    of all, at least) are met by broadcast, so none of them is a task's load."""
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    hot = hot or max(100_000, e.count() // 10_000)
     before = None
     for _ in range(most):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, low, hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+            _with_least(large, low, hot).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
             .select("x.*").where("a <> b").distinct()
         )
         e = cut(small)

@@ -3,16 +3,19 @@
 Equal vectors of a label are one vector with a number of copies. Each table hashes a vector ``hashes`` times: signs are
 flipped and a Hadamard transform applied, three times over, and the hash is the axis, with its sign, nearest to the
 result. A vector stands in the bucket of its nearest axes and, for each hash, in the one where that hash takes its second
-nearest axis. Only buckets with company carry vectors; in a bucket, blocks of vectors are multiplied, and pairs at or
-above the threshold are counted in the first bucket they share, so none counts twice and no pair is ever a row.
-Buckets of over ``cell_rows`` vectors are dealt in pairs of chunks.
+nearest axis. A bucket is known by its label, dimension, table and code, never by a hash of them. Only buckets with company
+carry vectors, with all their codes; in a bucket, blocks of vectors are multiplied, and pairs at or above the threshold are
+counted in the first bucket they share, so none counts twice and no pair is ever a row. Buckets of over ``cell_rows``
+vectors are dealt in pairs of chunks.
 
-With 8 tables and 2 hashes over 64 dimensions a pair at cosine 0.93 is found with probability 0.9999 (0.72 a table).
+More vectors take more hashes a table, so that buckets stay small, and more tables, so that a pair at the threshold is found
+as surely: over 64 dimensions a pair at cosine 0.93 with probability 0.9999 (2 hashes find it in a table with 0.72, 3 with
+0.56, 4 with 0.41, measured; so 8, 12 and 18 tables).
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label,
-link with nothing and are their own component; vectors of different lengths are never linked; equal rows count as
-vectors of their own; a null id takes part and counts, though a component is named by the smallest id that is not null.
-An empty table gives an empty result; other columns are not read.
+link with nothing and are their own component; labels of any type that Spark can group by are compared as they are; vectors
+of different lengths are never linked; equal rows count as vectors of their own; a null id takes part and counts, though a
+component is named by the smallest id that is not null. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ from tideline.llm.common import components, cut
 from tideline.llm.simhash_dedup import _unite
 
 BLOCK = 512
+#: Tables for each number of hashes, and how full the buckets of a label may become before one more hash is taken.
+TABLES = {2: 8, 3: 12, 4: 18}
+FULL = 4096
 
 
 def usable(vector: str) -> F.Column:
@@ -94,39 +100,61 @@ def _first_shared(codes: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, c
     return ok
 
 
+def plan(n: int, dim: int) -> tuple[int, int]:
+    """(tables, hashes) for so many vectors of one label."""
+    axes = 2 << max(1, (dim - 1).bit_length())
+    hashes = next((h for h in sorted(TABLES) if n * (1 + h) <= FULL * axes**h), max(TABLES))
+    return TABLES[hashes], hashes
+
+
 def link(vectors: DataFrame, threshold: float, tables: int, hashes: int, cell_rows: int) -> DataFrame:
     """vectors (rep, label, vector, copies), each vector once: (a, b, n) rows, which are n links of a where b is null,
     else an edge of a forest over the links."""
+    kind = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    each = tables * (1 + hashes)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sizes = np.diff(batch.column(2).offsets.to_numpy())
-            flat = batch.column(2).flatten().to_numpy()
+            lists = batch.column("vector")
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy().astype(np.float64)
             starts = np.cumsum(sizes) - sizes
+            out = np.empty((len(batch), each), np.int64)
             for d in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == d)
-                c = buckets(unit(flat[starts[own][:, None] + np.arange(d)]), tables, hashes)
-                n = tables * (1 + hashes)
-                arrays = [np.repeat(reps[own], n), np.repeat(labels[own], n), np.full(len(own) * n, d, np.int32), np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + hashes), len(own)), c.reshape(-1)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["rep", "label", "dim", "tab", "code"])
-
-    rows = vectors.select("rep", "label", "vector").mapInArrow(codes, "rep long, label long, dim int, tab int, code long")
-    rows = rows.select("rep", "tab", "code", F.xxhash64("label", "dim", "tab", "code").alias("cell"))
-    crowd = rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks"))
-    rows = rows.join(crowd, "cell").withColumn("own", F.expr("pmod(xxhash64(rep, 7), chunks)").cast("int"))
+                out[own] = buckets(unit(flat[starts[own][:, None] + np.arange(d)]), tables, hashes).reshape(len(own), each)
+            made = pa.ListArray.from_arrays(np.arange(0, out.size + 1, each, dtype=np.int32), pa.array(out.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "codes"])
+
+    hashed = cut(vectors.select("rep", "label", "vector", "copies").mapInArrow(codes, f"rep long, label {kind['label']}, vector {kind['vector']}, copies long, codes array<long>"))
+    rows = hashed.select("rep", "label", F.size("vector").alias("dim"), F.posexplode("codes").alias("at", "code"))
+    rows = rows.select("rep", "label", "dim", F.expr(f"at div {1 + hashes}").cast("int").alias("tab"), "code")
+    key = ["label", "dim", "tab", "code"]
+    crowd = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks"))
+    rows = rows.join(crowd, key).withColumn("own", F.expr("pmod(xxhash64(rep, 7), chunks)").cast("int"))
     rows = rows.select("*", F.expr("explode(CASE WHEN chunks = 1 THEN array(0) ELSE filter(sequence(0, chunks - 1), x -> x <> own) END)").alias("other"))
-    rows = rows.withColumn("cell", F.when(F.col("chunks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))))
-    rows = rows.join(vectors, "rep").select("cell", "rep", "tab", "code", "label", "vector", "copies", "own", ((F.col("own") + 1) % F.col("chunks") == F.col("other")).alias("within"))
+    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.when(F.col("chunks") > 1, F.greatest("own", "other")).otherwise(0))
+    within = ((F.col("own") + 1) % F.col("chunks") == F.col("other")).alias("within")
+    cell = [*key, "low", "high"]
+    rows = rows.join(hashed.select("rep", "vector", "copies", "codes"), "rep").select(*cell, "rep", "vector", "copies", "codes", "own", within)
+
+    def changes(t: pa.Table) -> np.ndarray:
+        """Where a row's cell is not that of the row before it."""
+        new = np.zeros(len(t), bool)
+        new[:1] = True
+        for c in cell:
+            v = t.column(c).combine_chunks()
+            v = (v.dictionary_encode().indices if c == "label" else v).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return new
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
             if sum(map(len, held)) >= 1 << 14:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                cell = whole.column("cell").to_numpy()
-                end = int(np.searchsorted(cell, cell[-1]))
+                whole = pa.Table.from_batches(held)
+                end = int(np.flatnonzero(changes(whole))[-1])
                 if end:
                     yield cells(whole.slice(0, end))
                     held = whole.slice(end).to_batches()
@@ -134,24 +162,20 @@ def link(vectors: DataFrame, threshold: float, tables: int, hashes: int, cell_ro
             yield cells(pa.Table.from_batches(held))
 
     def cells(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        cell, reps, tab, code, label, copies, own = (t.column(c).to_numpy() for c in ("cell", "rep", "tab", "code", "label", "copies", "own"))
-        within = t.column("within").to_numpy(zero_copy_only=False)
-        lists = t.column("vector").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.chunk(0)
-        sizes = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten().to_numpy()
-        starts = np.cumsum(sizes) - sizes
-        edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+        t = pa.Table.from_batches(t.combine_chunks().to_batches()) if len(t) else t
+        column = lambda c: t.column(c).combine_chunks()
+        reps, tab, code, copies, own, sizes = (column(c).to_numpy() for c in ("rep", "tab", "code", "copies", "own", "dim"))
+        within = column("within").to_numpy(zero_copy_only=False)
+        standing = column("codes").flatten().to_numpy().reshape(len(t), tables, 1 + hashes)
+        flat = column("vector").flatten().to_numpy().astype(np.float64)
+        starts = np.cumsum(sizes.astype(np.int64)) - sizes
+        edges = np.append(np.flatnonzero(changes(t)), len(t))
         out: list[list[np.ndarray]] = [[], [], []]
         for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if high - low < 2:
-                continue
             d, m = int(sizes[low]), high - low
-            if (sizes[low:high] != d).any() or (label[low:high] != label[low]).any():
-                raise RuntimeError("two buckets have one 64-bit hash")
-            x = unit(flat[starts[low:high][:, None] + np.arange(d)])
+            if m < 2:
+                continue
+            x = unit(flat[starts[low] : starts[low] + m * d].reshape(m, d))
             pairs = []
             for at in range(0, m, BLOCK):
                 near = x[at : at + BLOCK] @ x[at:].T >= threshold
@@ -159,12 +183,11 @@ def link(vectors: DataFrame, threshold: float, tables: int, hashes: int, cell_ro
                 i, j = i + at + low, j + at + low
                 keep = (own[i] != own[j]) | within[i]
                 pairs.append((i[keep], j[keep]))
-            i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            i, j = (np.concatenate(p) - low for p in zip(*pairs, strict=True))
             if not len(i):
                 continue
-            c = buckets(x, int(tab[low]) + 1, hashes)
-            new = _first_shared(c, i - low, j - low, int(tab[low]), int(code[low]))
-            i, j = i[new] - low, j[new] - low
+            new = _first_shared(standing[low:high], i, j, int(tab[low]), int(code[low]))
+            i, j = i[new], j[new]
             n = np.bincount(i, copies[low:high][j], m) + np.bincount(j, copies[low:high][i], m)
             parent = _unite(np.arange(m), i, j)
             hit, child = np.flatnonzero(n), np.flatnonzero(parent != np.arange(m))
@@ -174,17 +197,21 @@ def link(vectors: DataFrame, threshold: float, tables: int, hashes: int, cell_ro
         a, b, n = (np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long, n long")
+    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compare, "a long, b long, n long")
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.93, tables: int = 8, hashes: int = 2, cell_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.93, tables: int | None = None, hashes: int | None = None, cell_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of table."""
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"), (usable(vector_col) & F.col(label_col).isNotNull()).alias("part"))
+    kind = table.schema[vector_col].dataType
+    vector = F.col(vector_col) if kind.simpleString() in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), vector.alias("vector"), (usable(vector_col) & F.col(label_col).isNotNull()).alias("part"))
     rows = rows.select("*", F.when(F.col("part"), F.xxhash64("label", "vector")).alias("h1"), F.when(F.col("part"), F.xxhash64(F.lit(1), "label", "vector")).alias("h2"))
     # the nodes of the graph are numbered by the smallest id of equal vectors; those whose ids are all null, below zero
     rep = F.coalesce(F.min("vec_id"), F.lit(-2) - F.abs(F.col("h1") % (1 << 62)))
     distinct = cut(rows.where("part").groupBy("h1", "h2").agg(rep.alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")))
-    found = cut(link(distinct.select("rep", "label", "vector", "copies"), threshold, tables, hashes, cell_rows))
+    most = distinct.groupBy("label", F.size("vector").alias("dim")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "dim")).alias("x")).first()["x"]
+    made = plan(most["n"], most["dim"]) if most else plan(0, 1)
+    found = cut(link(distinct, threshold, tables or made[0], hashes or made[1], cell_rows))
     counts = found.where("b = -1").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("rep"), "n")
     roots = components(found.where("b <> -1").select("a", "b")).select(F.col("node").alias("rep"), "root")
     of = distinct.select("h1", "h2", "rep", "least", "copies").join(counts, "rep", "left").join(roots, "rep", "left")
