@@ -183,6 +183,25 @@ def test_mixing(spark, docs, rows, empty):
     assert abs(sum(len(words_of(r["text"])) for r in mixed) - 1.5 * total) <= 4 and {type(r["shard"]) for r in mixed} == {int}
 
 
+def test_the_mix_holds_the_words_of_its_plan(spark, docs, rows):
+    """With repeated and null ids, equal rows, and a source whose last pass ends among equal rows."""
+    more = spark.createDataFrame([(i % 3 if i % 2 else None, "one two three four five", "en", "copies", i) for i in range(40)] + [(900, "six seven", "en", "copies", 0)], DOCS)
+    for table in (docs, docs.union(more), more):
+        table = table.withColumn("shard", F.lit("clash")).withColumn("_pass", F.lit(5)).drop("_pass")
+        want = {}
+        for r in mixing.plan(table).withColumn("taken", F.expr("passes * size + extra")).collect():
+            want[r["doc_id"], r["source"], r["mark"]] = want.get((r["doc_id"], r["source"], r["mark"]), 0) + r["taken"]
+        got, texts = {}, {}
+        for r in table.select("doc_id", "source", "text").collect():
+            if r["text"] is not None:
+                texts.setdefault((r["doc_id"], r["source"]), {})[hashlib.md5(r["text"].encode()).hexdigest()] = words_of(r["text"])
+        for r in mixing.mixed_documents(table).collect():
+            w = words_of(r["text"])
+            mark = next(m for m, whole in texts[r["doc_id"], r["source"]].items() if whole[: len(w)] == w and (r["doc_id"], r["source"], m) in want)
+            got[r["doc_id"], r["source"], mark] = got.get((r["doc_id"], r["source"], mark), 0) + len(w)
+        assert got == {k: v for k, v in want.items() if v}
+
+
 def queries_mix(docs):
     return mixing.plan(docs).withColumn("taken", F.expr("passes * size + extra")).collect()
 

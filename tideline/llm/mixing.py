@@ -10,7 +10,7 @@ hypergeometric draw from its parent's quotas. Leaves are output shards; a shard
 Blocks are never over 65,536 plus one a source, whatever the input, so the tree is small; no text is shuffled.
 
 Defined results: null texts and texts without words have size 0 and are never taken; a null source is a source of its
-own, the last; null ids count as one id; equal rows may be taken unequally often. A source without words has target 0.
+own, the last; rows with one id, or null ids, are documents of their own; equal rows may be taken unequally often. A source without words has target 0.
 An empty table gives an empty result. Other columns pass through mixed_documents(), whose own columns win over
 columns of the same name.
 """
@@ -26,6 +26,8 @@ from tideline.llm.common import WORD, cut
 WEIGHTS = (3, 1, 2)
 MOST_BLOCKS = 65_536
 LEAST_DOCS = 256
+#: Documents, one a source at most, that may be broadcast.
+MOST_BROADCAST = 10_000
 
 
 def _hash28(*parts: object) -> F.Column:
@@ -34,11 +36,11 @@ def _hash28(*parts: object) -> F.Column:
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, levels: int = 4, seed: int = 1, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, passes, extra (words of the last pass), shards
-    (of each whole pass, then of the last one if any)."""
+    """One row a document: doc_id, source, size, mark (of its text), source_size, target, passes, extra (words of the last
+    pass), shards (of each whole pass, then of the last one if any)."""
     words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"))
-    sizes = cut(sizes.withColumn("key", _hash28(seed, "doc_id")))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), F.md5(F.col(text_col).cast("string")).alias("mark"))
+    sizes = cut(sizes.withColumn("key", _hash28(seed, "doc_id", "mark")))
 
     every = W.partitionBy().orderBy(F.asc_nulls_last("source"))
     rising = W.partitionBy().orderBy("ratio", F.asc_nulls_last("source")).rowsBetween(W.unboundedPreceding, -1)
@@ -87,19 +89,33 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int,
     within = W.partitionBy("source", "block").orderBy("key", F.asc_nulls_last("doc_id"), "size").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.coalesce(F.sum("size").over(within), F.lit(0))))
-    return placed.withColumn("extra", extra).select("doc_id", "source", "size", "source_size", "target", "passes", "extra", "shards")
+    return placed.withColumn("extra", extra).select("doc_id", "source", "size", "mark", "source_size", "target", "passes", "extra", "shards")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options: object) -> DataFrame:
     """The mix: the rows of docs as often as it takes them, the last one of a source cut to the words taken, with shard
-    and shuffle_key; sort by these to read a shard in its order."""
+    and shuffle_key; sort by these to read a shard in its order.
+
+    A row meets what the plan takes of it by id, source and a hash of its text. Rows equal in all three are alike to the
+    plan and stand side by side in it, so they are taken alike but where a source's last pass ends among them: there (once
+    a source) they are numbered, and the first ones are taken."""
     seed = options.get("seed", 1)
-    p = plan(docs, id_col=id_col, text_col=text_col, **options).where("passes * size + extra > 0")
-    p = p.groupBy("doc_id").agg(F.first("passes").alias("_passes"), F.max("extra").alias("_extra"), F.first("size").alias("_size"), F.first("shards").alias("_shards"))
+    whole = plan(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).where("passes * size + extra > 0")
+    whole = whole.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark")).agg(
+        F.first("passes").alias("_passes"), F.first("size").alias("_size"), F.first("shards").alias("_shards"), F.count("*").alias("_n"), F.count_if(F.col("extra") >= F.col("size")).alias("_full"), F.max(F.when(F.col("extra") < F.col("size"), F.col("extra"))).alias("_part")
+    )
+    whole = cut(whole.withColumn("_part", F.coalesce("_part", F.lit(0))).withColumn("_ends", (F.col("_full") < F.col("_n")) & ((F.col("_full") > 0) | (F.col("_part") > 0))))
     own = [c for c in docs.columns if c not in ("shard", "shuffle_key")]
-    rows = docs.select(*own).join(p.withColumnRenamed("doc_id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")))
+    rows = docs.select(*own, F.md5(F.col(text_col).cast("string")).alias("_of")).where(F.col("_of").isNotNull())
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_of") == F.col("_mark"))
+    ends = whole.where("_ends")
+    ends = F.broadcast(ends) if ends.count() <= MOST_BROADCAST else ends
+    place = F.row_number().over(W.partitionBy("_id", "_source", "_mark").orderBy(F.lit(0)))
+    extra = F.when(F.col("_place") <= F.col("_full"), F.col("_size")).when(F.col("_place") == F.col("_full") + 1, F.col("_part")).otherwise(0)
+    alike = rows.join(whole.where("NOT _ends"), same).withColumn("_extra", F.when(F.col("_full") > 0, F.col("_size")).otherwise(0))
+    rows = alike.union(rows.join(ends, same).withColumn("_place", place).withColumn("_extra", extra).drop("_place"))
     rows = rows.select("*", F.expr("explode(CASE WHEN _extra > 0 THEN sequence(0L, _passes) WHEN _passes > 0 THEN sequence(0L, _passes - 1) ELSE array() END)").alias("_pass"))
     part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_extra").cast("int")), " ")
     text = F.when((F.col("_pass") == F.col("_passes")) & (F.col("_extra") < F.col("_size")), part).otherwise(F.col(text_col))
-    rows = rows.withColumn("shuffle_key", _hash28(seed, 28, id_col, "_pass")).withColumn("shard", F.get("_shards", F.col("_pass").cast("int")))
+    rows = rows.withColumn("shuffle_key", _hash28(seed, 28, id_col, "_mark", "_pass")).withColumn("shard", F.get("_shards", F.col("_pass").cast("int")))
     return rows.withColumn(text_col, text).select(*own, "shard", "shuffle_key")

@@ -29,7 +29,7 @@ def mixing(levels: int = 4, seed: int = 1) -> str:
         lots += f"""
 n{depth + 1} AS (SELECT source, block, pass, node * 2 + CAST(row_number() OVER (PARTITION BY node ORDER BY {key}, source NULLS LAST, block, pass) * 2 > count(*) OVER (PARTITION BY node) + node % 2 AS BIGINT) AS node FROM n{depth}),"""
     return f"""
-WITH sized AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, {_hash28(f"'{seed}'", _text('doc_id'))} AS key FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, {_hash28(f"'{seed}'", _text('doc_id'), _text('md5(text)'))} AS key FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM sized GROUP BY source),
 s1 AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s0),
 s2 AS (SELECT *, sum(source_size) OVER () AS all_words, sum(docs) OVER () AS all_docs, coalesce(sum(source_size) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
