@@ -2,11 +2,14 @@
 
 P(grade > k) = s(w x - t_k), with s the logistic function and thresholds t_0 <= t_1 <= ...; a text gets its expected
 grade (the sum of grade values by their probabilities) and the tail probability P(grade >= cut). Weights are fitted on
-the driver on a bounded sample of labelled rows (``most_labels``, those whose ids hash lowest, so reruns agree), with an
-L1 penalty; a fifth of the sample is held out to choose the decision threshold. Scoring covers every row and whole texts.
+the driver on a bounded sample of labelled rows (``most_labels``, those whose ids hash lowest, so reruns agree; of each at
+most ``most_features``, those that hash lowest), with an L1 penalty that falls with the root of their number; a fifth of
+the sample is held out to choose the decision threshold, then the model is fitted on all of it. Scoring covers every row
+and whole texts.
 
 Defined results: null and empty texts have no features and get the grade of the bare thresholds (the quality stage
-rejects them, the toxicity stage passes them); rows with null ids or null grades do not train; if fewer than two grades
+rejects them, the toxicity stage passes them); rows with null ids or null grades do not train; of rows with one id the
+one whose text hashes lowest does, once for each of its grades; if fewer than two grades
 are labelled, every text gets that grade (0 if none) and is accepted; equal rows are scored alike. An empty table gives
 an empty result. Other columns are not read; ids pass through as they are.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import mix, span_hashes
 
 MOST_LABELS = 6_000
-MOST_GRADES = 20
+MOST_FEATURES = 20_000
 Features = Callable[[list[str | None], "np.ndarray | None"], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -58,7 +61,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(rows: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np.ndarray, dims: int, l1: float, cut: float, least_rows: int = 3, steps: int = 120, rate: float = 0.1) -> Model:
+def fit(rows: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np.ndarray, dims: int, l1: float, cut: float, least_rows: int = 2, steps: int = 120, rate: float = 0.1) -> Model:
     """Full-batch proximal Adam on the mean negative log-likelihood; rows numbers the samples of ``grade``. Features of
     fewer than least_rows samples get no weight."""
     n = len(grade)
@@ -97,19 +100,22 @@ def fit(rows: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np.ndarra
     return Model(grades.astype(float), theta, used[own].astype(np.int64), w[own], cut=cut)
 
 
-def train(docs: DataFrame, labels: DataFrame, grade_col: str, features: Features, dims: int, l1: float, cut: float, keep_good: float, most_labels: int = MOST_LABELS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, grade_col: str, features: Features, dims: int, l1: float, cut: float, keep_good: float, most_labels: int = MOST_LABELS, most_features: int = MOST_FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """keep_good: the share of held-out rows on the accepted side (tail for quality, body for toxicity, by its sign)
-    that the decision threshold must keep there."""
+    that the decision threshold must keep there; none goes for which the tail tells otherwise. l1: the penalty of a
+    single row."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(grade_col).cast("double").alias("grade"))
     known = known.orderBy(F.xxhash64(F.lit(17), "id"), "id", "grade").limit(most_labels)  # the bound; so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), F.col("_id") == F.col("id")).select("id", "grade", "text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), F.col("_id") == F.col("id"))
+    rows = rows.groupBy("id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             row, index, value = features(batch.column(2).to_pylist(), None)
             edges = np.searchsorted(row, np.arange(len(batch) + 1))
-            out = [batch.column(0).cast(pa.int64()), batch.column(1), pa.array([index[a:b].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()), pa.array([value[a:b].astype("<f4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["id", "grade", "index", "value"])
+            kept = [a + _lowest(index[a:b], most_features) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            sparse = [pa.array([of[k].astype(kind).tobytes() for k in kept], pa.binary()) for of, kind in ((index, "<u4"), (value, "<f4"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *sparse], ["id", "grade", "index", "value"])
 
     sample = rows.mapInArrow(run, "id long, grade double, index binary, value binary").toArrow()
     ids = sample.column("id").to_numpy()
@@ -125,7 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str, features: Features
         join = lambda parts, kind: np.concatenate([parts[i] for i in at]) if at else np.empty(0, kind)
         return rows_, join(index, np.int64), join(value, np.float64), grade[own]
 
-    model = fit(*matrix(~held), dims, l1, cut)
+    penalty = lambda n: l1 / max(1, n) ** 0.5
+    model = fit(*matrix(~held), dims, penalty((~held).sum()), cut)
+    decide = model.decide
     r, i, v, y = matrix(held)
     if len(y) and len(model.grades) > 1:
         tail = model.grade(model.score(r, i, v, len(y)))[1]
@@ -135,10 +143,20 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str, features: Features
             edge = np.quantile(good, 1 - keep_good if keep_good > 0 else -keep_good)
             other = np.quantile(bad, 0.99 if keep_good > 0 else 0.005)
             apart = other < edge if keep_good > 0 else other > edge
-            model.decide = float(np.clip((edge + other) / 2 if apart else edge, 1e-6, 1 - 1e-6))
+            decide = float(np.clip((edge + other) / 2 if apart else edge, 1e-6, 1 - 1e-6))
+            decide = min(decide, 0.5) if keep_good > 0 else max(decide, 0.5)  # few held-out rows tell little
+    model = fit(*matrix(np.ones(len(held), bool)), dims, penalty(len(held)), cut)
+    model.decide = decide
     return model
 
 
+def _lowest(index: np.ndarray, most: int) -> np.ndarray:
+    """The places of the features that a row may train with, in order."""
+    if len(index) <= most:
+        return np.arange(len(index))
+    return np.sort(np.argsort(mix(index.astype(np.uint64)), kind="stable")[:most])
+
+
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of few rows: the features of a batch of the session's size would take much memory."""
     for batch in batches:
@@ -235,17 +253,17 @@ def toxic_features(texts: list[str | None], wanted: np.ndarray | None = None) ->
 
 def quality(docs: DataFrame, labels: DataFrame, cut: float = 1.0, keep_good: float = 0.999, **bound: int) -> DataFrame:
     """(doc_id, expected, tail, decided): decided is True for the documents to keep."""
-    model = train(docs, labels, "quality", quality_features, QUALITY_DIMS + 4, 2e-6, cut, keep_good, **bound)
+    model = train(docs, labels, "quality", quality_features, QUALITY_DIMS + 4, 1.5e-4, cut, keep_good, **bound)
     return score(docs, model, quality_features, QUALITY_DIMS + 4)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, labelled: DataFrame, cut: float = 1.0, keep_good: float = 0.999, **bound: int) -> DataFrame:
     """The rows of docs to keep, by a model fitted on the labelled documents."""
-    model = train(labelled, labels, "quality", quality_features, QUALITY_DIMS + 4, 2e-6, cut, keep_good, **bound)
+    model = train(labelled, labels, "quality", quality_features, QUALITY_DIMS + 4, 1.5e-4, cut, keep_good, **bound)
     return select(docs, model, quality_features, QUALITY_DIMS + 4)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 1.0, pass_clean: float = 0.999, **bound: int) -> DataFrame:
     """(doc_id, expected, tail, decided): decided is True for toxic documents."""
-    model = train(docs, labels, "toxic", toxic_features, 1 << TOXIC_BITS, 1e-4, cut, -pass_clean, **bound)
+    model = train(docs, labels, "toxic", toxic_features, 1 << TOXIC_BITS, 0.01, cut, -pass_clean, **bound)
     return score(docs, model, toxic_features, 1 << TOXIC_BITS, above=False)
