@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tideline.llm import mixing, ordinal, packing, simhash_dedup, substring_dedup
 from tideline.llm.common import parallelism, scan, shared_folder
 from tideline.llm.queries import tokenizer_path
+from tideline.store.files import Files
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +30,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the passages that an earlier document holds; documents of which nothing is left go."""
-    rows = substring_dedup.remove_repeats(docs).where("n_removed < n_words OR n_words = 0")
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own = [c for c in ("n_words", "n_removed", "kept_sha256") if c in docs.columns]
+    rows = substring_dedup.remove_repeats(docs.select("*", *(F.col(c).alias(f"own {c}") for c in own))).where("n_removed < n_words OR n_words = 0")
+    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*(F.col(f"own {c}").alias(c) if c in own else c for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source's share, repeating or cutting documents, shard by shard in shuffled order."""
     levels = max(1, parallelism(spark).bit_length())
-    rows = mixing.mixed_documents(docs, levels=levels)
-    rows = rows.repartition(1 << levels, "shard").sortWithinPartitions("shard", "shuffle_key")
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = mixing.mixed_documents(docs.select("*", *(F.col(c).alias(f"own {c}") for c in ("shard", "shuffle_key") if c in docs.columns)), levels=levels)
+    rows = rows.repartition(1 << levels, "shard").sortWithinPartitions("shard", "shuffle_key").withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*(F.col(f"own {c}").alias(c) if f"own {c}" in rows.columns else c for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +64,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scan(spark, sf_dir, "documents")
     home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    files, before = Files(spark, home), f"{home}/none"  # a stage's output goes when the next one's is written
     for k, (name, stage) in enumerate(STAGES):
         path = f"{home}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        files.delete(before)
+        before = path
     return docs
