@@ -513,28 +513,95 @@ def test_ordinal_edges(spark, empty):
     assert ordinal.quality(empty, one).isEmpty()
 
 
-def test_pipeline(spark):
-    """Each stage against what brute force keeps of its input."""
+def test_pipeline(spark, monkeypatch):
+    """What run() hands from stage to stage, and its pieces, against brute force."""
+    from tokenizers import Tokenizer
+
+    sf, seen = "/root/testdata/sf0.001", []
+    columns = spark.read.parquet(f"{sf}/documents.parquet").columns
+
+    def noted(stage):
+        return lambda spark, docs, sf_dir: seen.append((docs.columns, docs.collect())) or stage(spark, docs, sf_dir)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, noted(stage)) for name, stage in corpus_pipeline.STAGES])
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    assert all(c == columns for c, _ in seen)
+    documents, quality, near, repeats, mixed = (rows for _, rows in seen)
+
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    scored = ordinal.quality(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    assert sorted(r["doc_id"] for r in quality) == sorted(r["doc_id"] for r in scored if r["decided"])
+    kept = {r["doc_id"] for r in quality}
+    assert sum(i in kept for i, q in labels.items() if q == 1) >= 0.95 * sum(q == 1 for q in labels.values())
+    assert sum(i in kept for i, q in labels.items() if q == 0) <= 0.2 * sum(q == 0 for q in labels.values()) and len(kept) < len(documents)
+
+    fps = [simhash_dedup.fingerprint(r["text"]) for r in quality]
+    order = sorted(range(len(quality)), key=lambda i: quality[i]["doc_id"])
+    root = brute_components(len(quality), [[(fps[a] ^ fps[b]).bit_count() <= 4 for b in order] for a in order])
+    assert sorted(map(tuple, near), key=str) == sorted((tuple(quality[order[i]]) for i in set(root)), key=str)
+
+    want = {i: s for i, n, g, s in brute_repeats([tuple(r) for r in near]) if g < n or not n}
+    assert {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in repeats} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in repeats + mixed)
+
+    by, texts, taken = {}, {r["doc_id"]: words_of(r["text"]) for r in repeats}, {}
+    for r in repeats:
+        by[r["source"]] = by.get(r["source"], 0) + len(texts[r["doc_id"]])
+    names = sorted(s for s in by if s is not None) + [None] * (None in by)
+    targets = dict(zip(names, brute_targets([by[s] for s in names]), strict=True))
+    words, cuts = {}, {}
+    for r in mixed:
+        w = words_of(r["text"])
+        assert w == texts[r["doc_id"]][: len(w)] and w
+        cuts[r["source"]] = cuts.get(r["source"], 0) + (len(w) < len(texts[r["doc_id"]]))
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(w)
+        taken[r["source"]] = taken.get(r["source"], 0) + len(w)
+    assert all(abs(taken.get(s, 0) - targets[s]) <= 1 for s in names) and all(n <= 1 for n in cuts.values())
+    assert all(n <= 2 * len(texts[i]) for i, n in words.items())
+
+    t, own = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json")), []
+    for r in mixed:
+        ids = [*t.encode(r["text"], add_special_tokens=False).ids, 1]
+        own += [(r["doc_id"], p, a, len(c), zlib.crc32(c.tobytes())) for p, a in enumerate(range(0, len(ids), 4096)) for c in [np.array(ids[a : a + 4096], "<u4")]]
+    assert sorted(own) == sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces)
+    placed = {}
+    for r in pieces:
+        placed.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in placed.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 4096
+    assert len(placed) <= -(-sum(p[3] for p in own) // 4096) + 2
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_on_odd_rows(spark, docs, rows, empty, k):
+    """Nulls, repeated rows, clashing columns and an empty table: each stage returns what it is to."""
+    name, stage = corpus_pipeline.STAGES[k]
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, tables = docs.columns, []
-    for _, stage in corpus_pipeline.STAGES:
-        tables.append(docs)
-        docs = spark.createDataFrame(stage(spark, docs, sf).toPandas())
-    quality, near, repeats, mixed = tables[1:]
-    assert all(t.columns == columns for t in tables)
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    assert quality.join(labels.where("quality = 1"), "doc_id").count() >= 0.95 * labels.where("quality = 1").count()
-    rows = quality.collect()
-    fps = [simhash_dedup.fingerprint(r["text"]) for r in rows]
-    order = sorted(range(len(rows)), key=lambda i: rows[i]["doc_id"])
-    root = brute_components(len(rows), [[(fps[a] ^ fps[b]).bit_count() <= 4 for b in order] for a in order])
-    assert sorted(r["doc_id"] for r in near.collect()) == sorted({rows[order[i]]["doc_id"] for i in set(root)})
-    want = {i: s for i, n, g, s in brute_repeats([tuple(r) for r in near.collect()]) if g < n or not n}
-    assert {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in repeats.collect()} == want
-    size = sum(len(words_of(r["text"])) for r in repeats.collect())
-    assert abs(sum(len(words_of(r["text"])) for r in mixed.collect()) - 1.5 * size) <= 25
-    assert docs.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
+    odd = docs.union(docs.limit(4)).withColumn("n_words", F.lit("clash")).withColumn("shard", F.lit(1.5)).withColumn("_kept", F.lit("x")).withColumn("piece", F.lit(None).cast("string"))
+    out = stage(spark, odd, sf)
+    got = out.collect()
+    assert stage(spark, empty, sf).isEmpty()
+    if name == "packing":
+        assert sum(r["piece"] == 0 for r in got) == odd.count() and out.columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"]
+        return
+    assert out.columns == odd.columns and out.schema["shard"].dataType == odd.schema["shard"].dataType and {r["n_words"] for r in got} <= {"clash"}
+    texts = {r[1] for r in rows}
+    if name in ("quality", "simhash_dedup"):
+        assert {r["text"] for r in got} <= texts and got
+        assert name != "simhash_dedup" or len({r["doc_id"] for r in got if r["doc_id"] is not None}) == sum(r["doc_id"] is not None for r in got)
+    if name == "mixing":
+        plan = mixing.plan(odd, levels=1).agg(F.expr("sum(passes * size + extra)")).first()[0]
+        assert sum(len(words_of(r["text"])) for r in got) == plan
+
+
+def test_pipeline_leaves_only_its_result(spark, monkeypatch, tmp_path):
+    import os
+
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda spark: str(tmp_path))
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    (home,) = tmp_path.iterdir()
+    assert sorted(os.listdir(home)) == ["4-packing"]
 
 
 def test_every_operator_is_registered():

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WORD, cut
+from tideline.llm.common import WORD, cut, whole_row
 
 WEIGHTS = (3, 1, 2)
 MOST_BLOCKS = 65_536
@@ -105,17 +105,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
         F.first("passes").alias("_passes"), F.first("size").alias("_size"), F.first("shards").alias("_shards"), F.count("*").alias("_n"), F.count_if(F.col("extra") >= F.col("size")).alias("_full"), F.max(F.when(F.col("extra") < F.col("size"), F.col("extra"))).alias("_part")
     )
     whole = cut(whole.withColumn("_part", F.coalesce("_part", F.lit(0))).withColumn("_ends", (F.col("_full") < F.col("_n")) & ((F.col("_full") > 0) | (F.col("_part") > 0))))
-    own = [c for c in docs.columns if c not in ("shard", "shuffle_key")]
-    rows = docs.select(*own, F.md5(F.col(text_col).cast("string")).alias("_of")).where(F.col("_of").isNotNull())
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_of") == F.col("_mark"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.md5(F.col(text_col).cast("string")).alias("of"), whole_row(docs)).where("of IS NOT NULL")
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("of") == F.col("_mark"))
     ends = whole.where("_ends")
     ends = F.broadcast(ends) if ends.count() <= MOST_BROADCAST else ends
     place = F.row_number().over(W.partitionBy("_id", "_source", "_mark").orderBy(F.lit(0)))
-    extra = F.when(F.col("_place") <= F.col("_full"), F.col("_size")).when(F.col("_place") == F.col("_full") + 1, F.col("_part")).otherwise(0)
-    alike = rows.join(whole.where("NOT _ends"), same).withColumn("_extra", F.when(F.col("_full") > 0, F.col("_size")).otherwise(0))
-    rows = alike.union(rows.join(ends, same).withColumn("_place", place).withColumn("_extra", extra).drop("_place"))
-    rows = rows.select("*", F.expr("explode(CASE WHEN _extra > 0 THEN sequence(0L, _passes) WHEN _passes > 0 THEN sequence(0L, _passes - 1) ELSE array() END)").alias("_pass"))
-    part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_extra").cast("int")), " ")
-    text = F.when((F.col("_pass") == F.col("_passes")) & (F.col("_extra") < F.col("_size")), part).otherwise(F.col(text_col))
-    rows = rows.withColumn("shuffle_key", _hash28(seed, 28, id_col, "_mark", "_pass")).withColumn("shard", F.get("_shards", F.col("_pass").cast("int")))
-    return rows.withColumn(text_col, text).select(*own, "shard", "shuffle_key")
+    extra = F.when(F.col("place") <= F.col("_full"), F.col("_size")).when(F.col("place") == F.col("_full") + 1, F.col("_part")).otherwise(0)
+    alike = rows.join(whole.where("NOT _ends"), same).withColumn("extra", F.when(F.col("_full") > 0, F.col("_size")).otherwise(0))
+    rows = alike.union(rows.join(ends, same).withColumn("place", place).withColumn("extra", extra).drop("place"))
+    rows = rows.select("*", F.expr("explode(CASE WHEN extra > 0 THEN sequence(0L, _passes) WHEN _passes > 0 THEN sequence(0L, _passes - 1) ELSE array() END)").alias("pass"))
+    whole_text = F.col(f"row.`{text_col}`").cast("string")
+    part = F.array_join(F.slice(F.regexp_extract_all(whole_text, F.lit(f"({WORD})"), F.lit(1)), 1, F.col("extra").cast("int")), " ")
+    text = F.when((F.col("pass") == F.col("_passes")) & (F.col("extra") < F.col("_size")), part).otherwise(whole_text).alias(text_col)
+    own = [text if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in ("shard", "shuffle_key")]
+    return rows.select(*own, F.get("_shards", F.col("pass").cast("int")).alias("shard"), _hash28(seed, 28, "id", "_mark", "pass").alias("shuffle_key"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import components, cut
+from tideline.llm.common import components, cut, whole_row
 
 SEED = 42
 
@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
 def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group: that of the smallest id, and of rows with that id the one whose text's hash is
     least. Rows with a null id name no group and stay."""
-    kept = near_duplicates(docs, words, radius, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(id_col) == F.col("_kept"), "left").where(F.col("_kept").isNotNull() | F.col(id_col).isNull())
-    place = F.when(F.col(id_col).isNotNull(), F.row_number().over(Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(F.xxhash64(text_col))))
-    return rows.withColumn("_place", place).where("_place IS NULL OR _place = 1").select(*docs.columns)
+    kept = near_duplicates(docs, words, radius, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), whole_row(docs))
+    rows = rows.join(kept, F.col("id") == F.col("kept"), "left").where(F.col("kept").isNotNull() | F.col("id").isNull())
+    place = F.when(F.col("id").isNotNull(), F.row_number().over(Window.partitionBy("id", F.when(F.col("id").isNull(), F.col("mark"))).orderBy("mark")))
+    return rows.withColumn("place", place).where("place IS NULL OR place = 1").select("row.*")
