@@ -94,6 +94,36 @@ def test_substring_dedup(spark, docs, rows, empty, monkeypatch):
     assert substring_dedup.remove_repeats(empty).isEmpty()
 
 
+@pytest.mark.parametrize("bucket_bytes", [1, 3000, 20_000])
+def test_substring_dedup_deals_large_buckets_anew(spark, rows, bucket_bytes):
+    """A stock phrase in changing context, a stock passage, and a text of one word: whatever is dealt anew, the same is removed."""
+    rng = random.Random(8)
+    phrase, stock = passage(45, rng), passage(120, rng)
+    more = [(1000 + i, f"{passage(30, rng)} {phrase} {passage(40, rng)} {stock if i % 3 == 0 else ''} {passage(20, rng)}", "en", "s", 0) for i in range(60)]
+    more += [(2000 + i, "same " * (100 + i), "en", "s", 0) for i in range(5)]
+    data = rows + more
+    got = substring_dedup.remove_repeats(spark.createDataFrame(data, DOCS).repartition(5), bucket_bytes=bucket_bytes).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(data)
+
+
+def test_a_hot_minimiser_is_spread_over_buckets():
+    """Windows that share a stock phrase of 30 words: one bucket at first, many once dealt anew."""
+    rng = random.Random(9)
+    phrase = [f"p{i}" for i in range(30)]
+    words = [[*passage(30, rng).split(), *phrase, *passage(30, rng).split()] for _ in range(200)]
+    lines = [" ".join(w).encode() for w in words]
+    k = substring_dedup._unpack(substring_dedup._super_kmers(list(range(200)), [len(w) for w in words], lines, 50, 4))
+    raw = np.frombuffer(b"\n".join(lines), np.uint8)
+    hashes = span_hashes(raw, *substring_dedup._spans(raw))
+    first = substring_dedup._Dealer(50, 12, (64, 1, 1), (frozenset(), frozenset()))
+    load = lambda d: np.bincount(d[0], d[3])
+    one = load(first.deal(k, hashes))
+    two = load(substring_dedup._Dealer(50, 12, (64, 512, 1), (frozenset([int(one.argmax())]), frozenset())).deal(k, hashes))
+    hot = int(two[64:].argmax()) + 64
+    three = load(substring_dedup._Dealer(50, 12, (64, 512, 4096), (frozenset([int(one.argmax())]), frozenset([hot]))).deal(k, hashes))
+    assert one.sum() == two.sum() == three.sum() and two[64:].max() <= one.max() and three[64 + 512 :].max() < one.max() / 20 and one.max() > one.sum() / 20
+
+
 def test_substring_dedup_settles_hash_collisions(monkeypatch):
     monkeypatch.setattr(substring_dedup, "run_hashes", lambda h, k: np.zeros(max(0, len(h) - k + 1), np.uint64))
     text = [b"a b c", b"a b d", b"a b c"]

@@ -69,8 +69,12 @@ def fit(rows: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np.ndarra
     if len(grades) < 2:
         return Model(grades, np.empty(0), np.empty(0, np.int64), np.empty(0), cut=cut)
     common = np.bincount(index, minlength=dims)[index] >= least_rows
-    rows, value = rows[common], value[common]
-    used, index = np.unique(index[common], return_inverse=True)
+    rows, value, index = rows[common], value[common], index[common]
+    del common
+    used = np.flatnonzero(np.bincount(index, minlength=dims))
+    place = np.zeros(dims, np.int64)
+    place[used] = np.arange(len(used))
+    index = place[index]
     w, m, v = (np.zeros(len(used)) for _ in range(3))
     share = np.cumsum(np.bincount(y))[:-1] / n
     first = np.log(share / (1 - share))
@@ -121,14 +125,14 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str, features: Features
     ids = sample.column("id").to_numpy()
     order = np.lexsort((sample.column("grade").to_numpy(), ids))
     grade = sample.column("grade").to_numpy()[order]
-    index = [np.frombuffer(sample.column("index")[i].as_py(), "<u4").astype(np.int64) for i in order.tolist()]
-    value = [np.frombuffer(sample.column("value")[i].as_py(), "<f4").astype(np.float64) for i in order.tolist()]
+    index, value = ([np.frombuffer(sample.column(c)[i].as_py(), kind) for i in order.tolist()] for c, kind in (("index", "<u4"), ("value", "<f4")))
     held = mix(ids[order].astype(np.uint64)) % np.uint64(5) == 0
+    del sample
 
     def matrix(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(own).tolist()
         rows_ = np.repeat(np.arange(len(at)), [len(index[i]) for i in at])
-        join = lambda parts, kind: np.concatenate([parts[i] for i in at]) if at else np.empty(0, kind)
+        join = lambda parts, kind: np.concatenate([parts[i] for i in at]).astype(kind) if at else np.empty(0, kind)
         return rows_, join(index, np.int64), join(value, np.float64), grade[own]
 
     penalty = lambda n: l1 / max(1, n) ** 0.5

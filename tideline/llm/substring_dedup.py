@@ -4,8 +4,14 @@ Documents are gathered into blocks of a few MB. In a block, consecutive windows
 of ``minimiser`` words is the same form one super-k-mer, which travels as one packed string to the bucket of that hash;
 equal strings of a block travel once, with their smallest document. A bucket sorts the hashes of all its windows,
 compares the words of windows with equal hashes, and answers each block with the windows that a smaller document starts.
-What a bucket reads is therefore bounded by the number of blocks, not of copies: a passage shared by a third of all
-documents costs one string a block.
+A passage shared by a third of all documents costs a bucket one string a block, not one a copy.
+
+There are as many buckets as the blocks' bytes ask for. Where many different windows share a minimiser (a stock phrase in
+changing context), its bucket would grow with the corpus: buckets measured to be over ``bucket_bytes`` are dealt anew, by a
+minimiser of ``longer`` words within the first one, still in packed strings; those that stay too large are dealt window by
+window, by the hash of the whole window. Equal windows take the same way at each step, so the counts stay exact. Sizes are
+measured in all blocks, or in one of every m where there are over 4,096 m; they decide where strings travel, never what is
+removed.
 
 Defined results: a null text has no words; a text of fewer words than a window is kept whole; repeated ids count as one
 document, so they never remove from one another; a window that occurs twice in one document alone stays; ties cannot
@@ -29,6 +35,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tideline.llm.common import cut, deflate, inflate, mix, parallelism, run_hashes, span_hashes
 
 BLOCK_BYTES = 2 << 20
+#: Compressed bytes of documents for each bucket; blocks that sizes are measured in.
+BYTES_A_BUCKET, MEASURED = 2 << 20, 4096
 #: A null id comes after every other.
 NO_ID = (1 << 63) - 1
 
@@ -83,7 +91,39 @@ def _super_kmers(ids: list[int], counts: list[int], lines: list[bytes], window:
     for i in np.argsort(ids_of, kind="stable").tolist():  # the smallest document represents its block
         reps[i] = seen.setdefault(raw[low[i] : high[i]], i)
     key = (mix(least[first]) >> np.uint64(33)).astype(np.uint32)
-    return _pack(first=first.astype(np.uint32), n=n.astype(np.uint32), key=key, rep=reps.astype(np.uint32), doc=ids_of)
+    return _pack(first=first.astype(np.uint32), n=n.astype(np.uint32), key=key, rep=reps.astype(np.uint32), doc=ids_of, size=(high - low).astype(np.uint32))
+
+
+class _Dealer:
+    """Where the strings of a block travel: bucket, string, its first window among the string's, windows."""
+
+    def __init__(self, window: int, longer: int, buckets: tuple[int, int, int], hot: tuple[frozenset[int], frozenset[int]]) -> None:
+        self.window, self.longer, self.buckets, self.hot = window, longer, buckets, hot
+
+    def deal(self, k: dict[str, np.ndarray], words: np.ndarray, only_hot: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """k: a block's strings; words: the hashes of its words."""
+        first, second, third = self.buckets
+        own = np.flatnonzero(k["rep"] == np.arange(len(k["rep"])))
+        bucket, n = (k["key"][own] % first).astype(np.int64), k["n"][own].astype(np.int64)
+        parts = [(bucket, own, np.zeros(len(own), np.int64), n)]
+        if self.hot[0]:
+            many = np.isin(bucket, np.fromiter(self.hot[0], np.int64))
+            parts = [tuple(x[~many] for x in parts[0])] if not only_hot else []
+            string, n = own[many], n[many]
+            of = np.repeat(np.arange(len(string)), n)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            window = k["first"][string].astype(np.int64)[of] + at  # its first word
+            least = _least(run_hashes(words, self.longer), self.window - self.longer + 1)[window] if len(of) else np.empty(0, np.uint64)
+            new = np.concatenate(([True], (of[1:] != of[:-1]) | (least[1:] != least[:-1])))[: len(of)]
+            runs = np.flatnonzero(new)
+            bucket = first + (mix(least[runs]) % np.uint64(second)).astype(np.int64)
+            length = np.diff(np.append(runs, len(of)))
+            alone = np.isin(bucket, np.fromiter(self.hot[1], np.int64)) if self.hot[1] else np.zeros(len(runs), bool)
+            parts.append((bucket[~alone], string[of[runs[~alone]]], at[runs[~alone]], length[~alone]))
+            single = np.flatnonzero(np.repeat(alone, length))
+            whole = run_hashes(words, self.window)[window[single]] if len(single) else np.empty(0, np.uint64)
+            parts.append((first + second + (whole % np.uint64(third)).astype(np.int64), string[of[single]], at[single], np.ones(len(single), np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _lines(texts: list[str | None], window: int) -> tuple[list[list[bytes]], list[int]]:
@@ -102,21 +142,21 @@ def _table(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(inflate(data)).read_all()
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, minimiser: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, minimiser: int = 4, longer: int = 12, bucket_bytes: int = 48 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with ``text_col`` replaced by its kept words joined by one space, and n_words, n_removed, kept_sha256."""
     spark = docs.sparkSession
     added = ("n_words", "n_removed", "kept_sha256")
     docs = docs.select(*(c for c in docs.columns if c not in added))
     kept_type = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     kept_arrow = to_arrow_schema(kept_type)
-    buckets = 4 * parallelism(spark)
+    longer = min(longer, window)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         made, task = 0, TaskContext.get().partitionId()
         for batch in batches:
-            sizes = np.cumsum(np.diff(np.frombuffer(batch.column(text_col).buffers()[1], np.int32)[batch.column(text_col).offset :][: len(batch) + 1])) if batch.column(text_col).type == pa.string() else np.cumsum([len(x.as_py() or "") for x in batch.column(text_col)])
+            sizes = np.cumsum(_sizes(batch.column(text_col)))
             low = 0
             while low < len(batch):
                 done = sizes[low - 1] if low else 0
@@ -128,29 +168,56 @@ def remove_repeats(docs: DataFrame, window: int = 50, minimiser: int = 4, id_col
                 yield pa.RecordBatch.from_pydict({"block": [task << 32 | made], "docs": [_table_bytes(part)], "kmers": [table]}, pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("kmers", pa.binary())]))
                 made, low = made + 1, high
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, docs_, kmers in zip(*(batch.column(c).to_pylist() for c in ("block", "docs", "kmers")), strict=True):
-                if not kmers:
-                    continue
-                k = _unpack(kmers)
-                words, long = _lines(_table(docs_).column(text_col).to_pylist(), window)
-                raw = b"\n".join(b" ".join(words[i]) for i in long)
-                starts, ends = _spans(np.frombuffer(raw, np.uint8))
-                own = np.flatnonzero(k["rep"] == np.arange(len(k["rep"])))
-                bucket = k["key"][own] % buckets
-                order = np.argsort(bucket, kind="stable")
-                own, bucket = own[order], bucket[order]
-                low = starts[k["first"][own]].tolist()
-                high = ends[k["first"][own].astype(np.int64) + k["n"][own] + window - 2].tolist()
-                edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(own)])).tolist()
-                out = {"bucket": [], "block": [], "packed": []}
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    text = b"\n".join([raw[x:y] for x, y in zip(low[a:b], high[a:b], strict=True)])
-                    out["bucket"].append(int(bucket[a]))
-                    out["block"].append(block)
-                    out["packed"].append(_pack(rep=own[a:b].astype(np.uint32), n=k["n"][own[a:b]], doc=k["doc"][own[a:b]], text=np.frombuffer(text, np.uint8)))
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("packed", pa.binary())]))
+    def text_of(docs_: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        words, long = _lines(_table(docs_).column(text_col).to_pylist(), window)
+        raw = b"\n".join(b" ".join(words[i]) for i in long)
+        return raw, *_spans(np.frombuffer(raw, np.uint8))
+
+    def parts_of(dealer: _Dealer):  # noqa: ANN202
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, docs_, kmers in zip(*(batch.column(c).to_pylist() for c in ("block", "docs", "kmers")), strict=True):
+                    if not kmers:
+                        continue
+                    k = _unpack(kmers)
+                    raw, starts, ends = text_of(docs_)
+                    hashes = span_hashes(np.frombuffer(raw, np.uint8), starts, ends) if dealer.hot[0] else np.empty(0, np.uint64)
+                    bucket, string, at, n = dealer.deal(k, hashes)
+                    order = np.argsort(bucket, kind="stable")
+                    bucket, string, at, n = bucket[order], string[order], at[order], n[order]
+                    first = k["first"][string].astype(np.int64) + at
+                    low, high = starts[first].tolist(), ends[first + n + window - 2].tolist()
+                    edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])).tolist()
+                    out = {"bucket": [], "block": [], "packed": []}
+                    for a, b in zip(edges[:-1], edges[1:], strict=True):
+                        text = b"\n".join([raw[x:y] for x, y in zip(low[a:b], high[a:b], strict=True)])
+                        out["bucket"].append(int(bucket[a]))
+                        out["block"].append(block)
+                        out["packed"].append(_pack(rep=string[a:b].astype(np.uint32), at=at[a:b].astype(np.uint32), n=n[a:b].astype(np.uint32), doc=k["doc"][string[a:b]], text=np.frombuffer(text, np.uint8)))
+                    yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary())]))
+
+        return parts
+
+    def sizes_of(dealer: _Dealer):  # noqa: ANN202
+        def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Bytes of the strings by bucket; past the first dealing, of the anew dealt ones alone."""
+            for batch in batches:
+                total: dict[int, int] = {}
+                for docs_, kmers in zip(*(batch.column(c).to_pylist() for c in ("docs", "kmers")), strict=True):
+                    if not kmers:
+                        continue
+                    k = _unpack(kmers)
+                    hashes, mean = np.empty(0, np.uint64), k["size"].sum() / (k["n"].astype(np.int64) + window - 1).sum()
+                    if dealer.hot[0]:
+                        raw, starts, ends = text_of(docs_)
+                        hashes = span_hashes(np.frombuffer(raw, np.uint8), starts, ends)
+                    bucket, _, _, n = dealer.deal(k, hashes, only_hot=True)
+                    name, place = np.unique(bucket, return_inverse=True)
+                    for x, y in zip(name.tolist(), np.bincount(place, (n + window - 1) * mean).tolist(), strict=True):
+                        total[x] = total.get(x, 0) + int(y)
+                yield pa.RecordBatch.from_pydict({"bucket": list(total), "bytes": list(total.values())}, pa.schema([("bucket", pa.int64()), ("bytes", pa.int64())]))
+
+        return sizes
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         block, answer = _count(group["block"].tolist(), group["packed"].tolist(), window)
@@ -180,11 +247,33 @@ def remove_repeats(docs: DataFrame, window: int = 50, minimiser: int = 4, id_col
                 yield from table.cast(kept_arrow).combine_chunks().to_batches()
 
     held = cut(docs.mapInArrow(blocks, "block long, docs binary, kmers binary"))
-    answers = held.mapInArrow(parts, "bucket int, block long, packed binary").groupBy("bucket").applyInPandas(count, "block long, answer binary")
+    n_blocks, packed = held.agg(F.count("*"), F.coalesce(F.sum(F.length("docs")), F.lit(0))).first()
+    every = -(-n_blocks // MEASURED) or 1
+    least = 4 * parallelism(spark)
+    dealer = _Dealer(window, longer, (max(least, packed // BYTES_A_BUCKET), 1, 1), (frozenset(), frozenset()))
+    for step in (0, 1):
+        texts = F.col("docs") if step else F.lit(None).cast("binary").alias("docs")  # sizes need them only to deal anew
+        some = held.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).select(texts, "kmers")
+        sizes = some.mapInArrow(sizes_of(dealer), "bucket long, bytes long").groupBy("bucket").agg((F.sum("bytes") * every).alias("bytes"))
+        hot = {r["bucket"]: r["bytes"] for r in sizes.where(F.col("bytes") > bucket_bytes).collect()}  # at most all bytes / bucket_bytes
+        if not hot:
+            break
+        room = max(least, 4 * sum(hot.values()) * (window // 2 if step else 1) // bucket_bytes)
+        own = frozenset(hot)
+        buckets, hot_ = dealer.buckets, dealer.hot
+        dealer = _Dealer(window, longer, (buckets[0], room, 1) if not step else (*buckets[:2], room), (own, frozenset()) if not step else (hot_[0], own))
+    answers = held.mapInArrow(parts_of(dealer), "bucket long, block long, packed binary").groupBy("bucket").applyInPandas(count, "block long, answer binary")
     answers = answers.groupBy("block").agg(F.collect_list("answer").alias("answers"))  # one from each bucket at most
     return held.join(answers, "block", "left").select("docs", "kmers", "answers").mapInArrow(finish, kept_type)
 
 
+def _sizes(texts: pa.Array) -> np.ndarray:
+    """The bytes of each text."""
+    if texts.type != pa.string():
+        return np.array([len(x.as_py() or "") for x in texts], np.int64)
+    return np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :][: len(texts) + 1])
+
+
 def _count(blocks: list[int], packed: list[bytes], window: int) -> tuple[list[int], list[bytes]]:
     """Of one bucket: for each block, the runs of windows that a smaller document starts."""
     parts = [_unpack(p) for p in packed]
@@ -223,6 +312,8 @@ def _count(blocks: list[int], packed: list[bytes], window: int) -> tuple[list[in
                 gone[i] = least[raw[low[i] : high[i]]] < doc[i]
     # runs of removed windows, cut where a string ends
     hit = np.flatnonzero(gone)
+    starts_at = np.concatenate([p["at"] if "at" in p else np.zeros(len(p["n"]), np.uint32) for p in parts]).astype(np.int64)
+    within = within + starts_at[string]
     out_blocks, out = [], []
     if len(hit):
         split = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(string[hit]) != 0)))
