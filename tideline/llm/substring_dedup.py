@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, minimiser: int = 4, longer
                         out["bucket"].append(int(bucket[a]))
                         out["block"].append(block)
                         out["packed"].append(_pack(rep=string[a:b].astype(np.uint32), at=at[a:b].astype(np.uint32), n=n[a:b].astype(np.uint32), doc=k["doc"][string[a:b]], text=np.frombuffer(text, np.uint8)))
-                    yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary())]))
+                    yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("packed", pa.binary())]))
 
         return parts
 
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, minimiser: int = 4, longer
                     name, place = np.unique(bucket, return_inverse=True)
                     for x, y in zip(name.tolist(), np.bincount(place, (n + window - 1) * mean).tolist(), strict=True):
                         total[x] = total.get(x, 0) + int(y)
-                yield pa.RecordBatch.from_pydict({"bucket": list(total), "bytes": list(total.values())}, pa.schema([("bucket", pa.int64()), ("bytes", pa.int64())]))
+                yield pa.RecordBatch.from_pydict({"bucket": list(total), "bytes": list(total.values())}, pa.schema([("bucket", pa.int32()), ("bytes", pa.int64())]))
 
         return sizes
 
@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, minimiser: int = 4, longer
     for step in (0, 1):
         texts = F.col("docs") if step else F.lit(None).cast("binary").alias("docs")  # sizes need them only to deal anew
         some = held.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).select(texts, "kmers")
-        sizes = some.mapInArrow(sizes_of(dealer), "bucket long, bytes long").groupBy("bucket").agg((F.sum("bytes") * every).alias("bytes"))
+        sizes = some.mapInArrow(sizes_of(dealer), "bucket int, bytes long").groupBy("bucket").agg((F.sum("bytes") * every).alias("bytes"))
         hot = {r["bucket"]: r["bytes"] for r in sizes.where(F.col("bytes") > bucket_bytes).collect()}  # at most all bytes / bucket_bytes
         if not hot:
             break
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, minimiser: int = 4, longer
         own = frozenset(hot)
         buckets, hot_ = dealer.buckets, dealer.hot
         dealer = _Dealer(window, longer, (buckets[0], room, 1) if not step else (*buckets[:2], room), (own, frozenset()) if not step else (hot_[0], own))
-    answers = held.mapInArrow(parts_of(dealer), "bucket long, block long, packed binary").groupBy("bucket").applyInPandas(count, "block long, answer binary")
+    answers = held.mapInArrow(parts_of(dealer), "bucket int, block long, packed binary").groupBy("bucket").applyInPandas(count, "block long, answer binary")
     answers = answers.groupBy("block").agg(F.collect_list("answer").alias("answers"))  # one from each bucket at most
     return held.join(answers, "block", "left").select("docs", "kmers", "answers").mapInArrow(finish, kept_type)
 
