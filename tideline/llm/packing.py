@@ -33,7 +33,7 @@ from tideline.llm.common import cut
 
 CAPACITY = 4096
 END_ID = 1
-MOST_WORDS = 400_000
+MOST_WORDS = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict[str, "_Words"] = {}
 
