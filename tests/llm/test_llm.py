@@ -6,6 +6,7 @@ import html
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -278,6 +279,31 @@ def test_encoding_by_words_is_that_of_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
 
 
+def test_packing_holds_few_bytes_a_word():
+    """The table that each worker keeps: its bytes add to every executor's, whatever stage runs."""
+    words = packing._Words(queries.tokenizer_path("word_bpe_49k.json"))
+    texts = [" ".join(f"word{i}{'.' * (i % 3 == 0)}" for i in range(low, low + 1000)) for low in range(0, 60_000, 1000)]
+    words.encode(["a b."], 1)
+    tracemalloc.start()
+    try:
+        for low in range(0, 60, 10):
+            words.encode(texts[low : low + 10], 1)
+        assert tracemalloc.get_traced_memory()[0] < 240 * 60_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_packing_empties_its_table_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_BYTES", 1 << 20)
+    words = packing._Words(queries.tokenizer_path("word_bpe_49k.json"))
+    for i in range(30):  # 2 MB of words, all of them different
+        text = " ".join(f"{'abcde'[j]}{i}" * 6_000 + "!" * (j % 2) for j in range(5))
+        ids, edges = words.encode([text], 1)
+        whole = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == [*whole, 1] and edges.tolist() == [0, len(whole) + 1]
+        assert sum(map(len, words.numbers)) < 3 << 19
+
+
 @pytest.mark.parametrize("lengths", [[4096], [1], [3000, 1096, 2000, 2000, 96], [1400] * 7 + [100] * 9, list(range(1, 1500, 7))])
 def test_pack(lengths):
     where, offset = packing.pack(np.array(lengths), 4096)

@@ -33,7 +33,9 @@ from tideline.llm.common import cut
 
 CAPACITY = 4096
 END_ID = 1
-MOST_WORDS = 800_000
+#: What a worker's table of words holds until it is emptied: words, and bytes in them.
+MOST_WORDS, MOST_BYTES = 800_000, 32 << 20
+_TOGETHER = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict[str, "_Words"] = {}
 
@@ -51,25 +53,22 @@ class _Numbers(dict):
 
 
 class _Lists:
-    """Lists of ids, numbered as they are added."""
+    """Lists of ids by number."""
 
     def __init__(self) -> None:
-        self.parts: list[np.ndarray] = []
-        self.ids, self.starts, self.sizes = (np.empty(0, t) for t in (np.uint32, np.int64, np.int64))
-        self.more: list[np.ndarray] = []
+        self.ids, self.starts, self.sizes = (np.empty(0, t) for t in (np.uint32, np.int64, np.uint32))
 
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.parts.append(ids)
-        self.more.append(sizes)
+    def reserve(self, n: int) -> None:
+        self.starts, self.sizes = (np.concatenate((x, np.zeros(n - len(x), x.dtype))) for x in (self.starts, self.sizes))
+
+    def put(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts[at] = len(self.ids) + np.cumsum(sizes) - sizes
+        self.sizes[at] = sizes
+        self.ids = np.concatenate((self.ids, ids))
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the lists numbered ``at``, one after the other, and the lists' sizes."""
-        if self.parts:
-            self.ids = np.concatenate((self.ids, *self.parts))
-            self.sizes = np.concatenate((self.sizes, *self.more))
-            self.starts = np.cumsum(self.sizes) - self.sizes
-            self.parts, self.more = [], []
-        sizes = self.sizes[at]
+        sizes = self.sizes[at].astype(np.int64)
         ends = np.cumsum(sizes)
         return self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
@@ -93,26 +92,28 @@ class _Words:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
-        self.numbers, self.atoms = _Numbers(), _Numbers()
-        self.words, self.coded = _Lists(), _Lists()
-        self.atoms[b""]
-        self.atoms.fresh.clear()
-        self.coded.add(np.empty(0, np.uint32), np.zeros(1, np.int64))
-
-    def _code(self) -> None:
-        """Encodes the fresh atoms, many at a time: a digit that always is one id of its own stands between any two."""
-        fresh, self.atoms.fresh = self.atoms.fresh, []
+        self.numbers, self.lists, self.size = _Numbers(), _Lists(), 0
+
+    def _code(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words without marks, and how many each has. They are encoded many at a time: a digit that always is
+        one id of its own stands between any two."""
         alone = len(self.mark) != 1
-        groups = [fresh[i : i + 256] for i in range(0, len(fresh), 256)]
-        together = self._encode(["" if alone else b" 0 ".join(g).decode("utf-8", "replace") for g in groups])
-        for group, ids in zip(groups, together, strict=True):
-            a = np.array(ids, np.uint32)
-            at = np.flatnonzero(a == self.mark[0])
-            if alone or len(at) != len(group) - 1:  # some atom holds that digit
-                each = self._encode([w.decode("utf-8", "replace") for w in group])
-                self.coded.add(np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64))
-            else:
-                self.coded.add(np.delete(a, at), np.diff(np.concatenate(([-1], at, [len(a)]))) - 1)
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for low in range(0, len(fresh), _TOGETHER * 32):  # what the tokenizer returns is many times its ids
+            part = fresh[low : low + _TOGETHER * 32]
+            groups = [part[i : i + _TOGETHER] for i in range(0, len(part), _TOGETHER)]
+            together = self._encode(["" if alone else b" 0 ".join(g).decode("utf-8", "replace") for g in groups])
+            for group, own in zip(groups, together, strict=True):
+                a = np.array(own, np.uint32)
+                at = np.flatnonzero(a == self.mark[0])
+                if alone or len(at) != len(group) - 1:  # some word holds that digit
+                    each = self._encode([w.decode("utf-8", "replace") for w in group])
+                    ids.append(np.array([i for e in each for i in e], np.uint32))
+                    sizes.append(np.array([len(e) for e in each], np.int64))
+                else:
+                    ids.append(np.delete(a, at))
+                    sizes.append(np.diff(np.concatenate(([-1], at, [len(a)]))) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
         m = _MARKED.fullmatch(word)
@@ -126,23 +127,33 @@ class _Words:
         return stem, m[2]
 
     def _learn(self) -> None:
-        """Gives ids to the fresh words: those of a stem and of the marks that follow it."""
-        if not self.numbers.fresh:
-            return
+        """Gives ids to the fresh words. One that ends in marks has those of its stem and of its marks, which are words
+        of the same table."""
         fresh, self.numbers.fresh = self.numbers.fresh, []
-        # atoms with a zero would spoil the groups of others, so they come last
-        parts = [self._parts(w) for w in fresh]
-        for p in parts:
-            if b"0" not in p[0]:
-                self.atoms[p[0]], self.atoms[p[1]]
-        at = np.fromiter(map(self.atoms.__getitem__, chain.from_iterable(parts)), np.int64, 2 * len(parts))
-        self._code()
-        ids, sizes = self.coded.gather(at)
-        self.words.add(ids, sizes.reshape(-1, 2).sum(axis=1))
+        if not fresh:
+            return
+        low = len(self.numbers) - len(fresh)
+        marked, pairs, plain = [], [], []
+        for n, w in enumerate(fresh, low):
+            stem, marks = self._parts(w)
+            if marks:
+                marked.append(n)
+                pairs += (self.numbers[stem], self.numbers[marks])
+            else:
+                plain.append(n)
+        plain += range(low + len(fresh), len(self.numbers))
+        fresh += self.numbers.fresh
+        self.numbers.fresh.clear()
+        self.size += sum(map(len, fresh))
+        self.lists.reserve(len(self.numbers))
+        plain.sort(key=lambda n: b"0" in fresh[n - low])  # words with a zero would spoil the groups of others
+        self.lists.put(np.array(plain, np.int64), *self._code([fresh[n - low] for n in plain]))
+        ids, sizes = self.lists.gather(np.array(pairs, np.int64))
+        self.lists.put(np.array(marked, np.int64), ids, sizes.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end_id, and the edges between texts."""
-        if len(self.numbers) > MOST_WORDS:
+        if len(self.numbers) > MOST_WORDS or self.size > MOST_BYTES:
             self.clear()
         words = []
         for t in texts:
@@ -151,7 +162,7 @@ class _Words:
         n = np.array([len(w) for w in words], np.int64)
         at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
         self._learn()
-        ids, sizes = self.words.gather(at)
+        ids, sizes = self.lists.gather(at)
         edges = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(n)))]
         return np.insert(ids, edges[1:], np.uint32(end_id)), edges + np.arange(len(edges))
 
